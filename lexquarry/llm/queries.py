@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexquarry.session import table
 
-from . import decontaminate, html_extract, packing, quality_rules, secrets, tokens
+from . import decontaminate, html_extract, near_dedup, packing, quality_rules, secrets, tokens, toxicity, warc
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +26,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_rows(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,5 +42,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_html_extraction, op4_secret_scan, op6_best_fit_packing, op7_token_counts, op8_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_quality_rules,
+        op3_html_extraction,
+        op4_secret_scan,
+        op5_warc,
+        op6_best_fit_packing,
+        op7_token_counts,
+        op8_decontamination,
+        op10_near_dedup,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}
