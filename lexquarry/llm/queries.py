@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexquarry.session import table
 
-from . import decontaminate, html_extract, near_dedup, packing, quality_rules, secrets, tokens, toxicity, warc
+from . import decontaminate, html_extract, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest_rows(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
         op6_best_fit_packing,
         op7_token_counts,
         op8_decontamination,
+        op9_substring_dedup,
         op10_near_dedup,
     )
 }
