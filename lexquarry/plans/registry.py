@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import evaluation, families, quotes, record, retrieval, texts, timeline, trust, values  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "bm25_topk"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
