@@ -52,3 +52,11 @@ def persisted(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files and checkpoints that nothing refers to any more: it follows the JVM's collector."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
