@@ -241,7 +241,11 @@ def extract_blocks(html: str | None) -> list[str]:
     for kid in best.parent.kids:
         if kid is best:
             _blocks(kid, out)
-        elif isinstance(kid, _Node) and not kid.drop:
+        elif isinstance(kid, tuple):
+            # bare text beside the article: prose by its length
+            if not kid[1] and len(text := _clean([kid[0]])) >= 80:
+                out.append(text)
+        elif not kid.drop:
             density = kid.linked / max(1, kid.chars)
             prose = kid.name == "p" and density < 0.25 and kid.chars >= 80 or kid.name == "h1" and kid.chars > 0
             if prose or kid.name not in ("ul", "ol") and _final(kid) + (0.2 * _final(best) if kid.name == best.name == "article" else 0) >= least and density < 0.5:
