@@ -123,7 +123,7 @@ def _local(docs, chunks, buckets, length, seed):
             box.setdefault(b, []).append((k, m))
     masks: list[dict] = [{} for _ in cut]
     for b, rows in box.items():
-        for k, m in substring_dedup.window_masks(rows, length):
+        for k, m in substring_dedup.window_masks(rows, length, seed):
             masks[k][b] = m
     return [(i, len(t), sum(e - s for s, e in sp), len(sp)) for c, p, m in zip(cut, places, masks) for i, t, sp in zip(c.ids, c.texts, p.removed(m))]
 
