@@ -1,6 +1,7 @@
 """Secret scanning: fixed patterns plus zstandard novelty of candidate strings.
 
-A candidate is a long unbroken run of key-like characters with a sensitive word shortly before it on its line. Its
+A candidate is a long unbroken run of key-like characters, or what follows a '=' in one, with a sensitive word shortly
+before it on its line. Its
 novelty is the number of bytes it adds to a zstandard frame that already holds the surrounding text, compressed against
 a dictionary of identifiers common in code. Words, paths and identifiers are mostly paid for by the dictionary or by the
 text around them; random key material is not, so a high number of added bytes per character marks a secret.
@@ -24,7 +25,9 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+VALUE = re.compile(r"(?<==)[A-Za-z0-9+/_-]+=*")
 SENSITIVE = re.compile(r"auth|bearer|credential|passphrase|passwd|password|private|secret|signing|signature|token|api.?key|access.?key|session.?key|client.?key|\bpwd\b", re.IGNORECASE | re.ASCII)
 IDENTIFIERS = (
     b"abstract access account address algorithm api append application argument array async attribute auth authorization "
@@ -71,18 +74,29 @@ def find_secrets(text: str | None, context: int = 64, surround: int = 512, novel
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted((s, e) for s, _, e in spans)
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        line = max(text.rfind("\n", 0, s) + 1, s - context)
-        if not SENSITIVE.search(text, line, s):
-            continue
+
+    def sensitive(s: int) -> bool:
+        line = max(text.rfind("\n", max(0, s - context), s) + 1, s - context, 0)
+        return SENSITIVE.search(text, line, s) is not None
+
+    def novel(s: int, e: int) -> bool:
         if any(a < e and s < b for a, b in base):
-            continue
-        body = m[0]
+            return False
+        body = text[s:e]
         if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
+            return False
+        return marginal_bytes(text[max(0, s - surround) : s], body, text[e : e + surround]) >= novelty * len(body)
+
+    for m in CANDIDATE.finditer(text):
+        if sensitive(m.start()) and novel(*m.span()):
+            spans.append((m.start(), 3, m.end()))
             continue
-        if marginal_bytes(text[max(0, s - surround) : s], body, text[e : e + surround]) >= novelty * len(body):
-            spans.append((s, 3, e))
+        # a key's name may be written against its value: what follows the first '=' after a sensitive word, else each value
+        values = [v.span() for v in VALUE.finditer(text, *m.span()) if sensitive(v.start())]
+        if values and m.end() - values[0][0] >= LEAST and novel(values[0][0], m.end()):
+            spans.append((values[0][0], 3, m.end()))
+        else:
+            spans += [(s, 3, e) for s, e in values if e - s >= LEAST and novel(s, e)]
     spans.sort()
     return [(s, KINDS[k], e) for s, k, e in spans]
 

@@ -177,6 +177,22 @@ def test_novelty():
     assert kinds("plain eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9 text") == []
 
 
+def test_novelty_of_values_written_against_their_key():
+    key = "q7Jd0ZpXw3/Lr9TkVb2+Hs8NfYc5Gm1EaUoI4xRz"
+    lines = ("AWS_SECRET_ACCESS_KEY=%s", "private_key=%s", "GET https://h.org/a?x=1&auth=%s&y=2", "credential=%s==", "signing_key=%s", "client_key=%s", "--session_key=%s", "a=b=signing_key=%s=", "credential=Zk3=%s")
+    for line in lines:
+        text = "first line\n" + line % key + "\nlast line"
+        at = text.index(key)
+        found = secrets.find_secrets(text)
+        assert [k for _, k, _ in found] == ["novel"] and found[0][0] <= at and found[0][2] >= at + len(key), line
+        assert key not in secrets.redact_text(text, found)
+    assert secrets.find_secrets(f"plain_name={key}") == []
+    # short pieces between signs are one value; each value counts where the whole does not
+    assert [k for _, k, _ in secrets.find_secrets("auth=q7Jd0ZpXw3=Lr9TkVb2=Hs8NfYc5")] == ["novel"]
+    text = f"client_key={'zy1' * 12}={key}"
+    assert secrets.find_secrets(text)[-1][2] == len(text)
+
+
 def test_redaction_keeps_columns(odd):
     out = secrets.redact_secrets(odd)
     assert out.columns == odd.columns and out.schema.simpleString() == odd.schema.simpleString()
