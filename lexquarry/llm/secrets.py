@@ -4,7 +4,8 @@ A candidate is a long unbroken run of key-like characters, or what follows a '='
 before it on its line. Its
 novelty is the number of bytes it adds to a zstandard frame that already holds the surrounding text, compressed against
 a dictionary of identifiers common in code. Words, paths and identifiers are mostly paid for by the dictionary or by the
-text around them; random key material is not, so a high number of added bytes per character marks a secret.
+text around them; random key material is not, so a high number of added bytes marks a secret: high for its characters, or
+for what a random run of its alphabet and length would add in its place, as long runs of few letters are coded in less.
 
 Defined results: null and empty texts hold no span; a text of any length is read whole; equal rows give equal results;
 columns besides the id and the text are not read.
@@ -29,6 +30,8 @@ LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 VALUE = re.compile(r"(?<==)[A-Za-z0-9+/_-]+=*")
 SENSITIVE = re.compile(r"auth|bearer|credential|passphrase|passwd|password|private|secret|signing|signature|token|api.?key|access.?key|session.?key|client.?key|\bpwd\b", re.IGNORECASE | re.ASCII)
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = (_DIGITS + "ABCDEF", _DIGITS + "abcdef", _UPPER + "234567=", _DIGITS + _UPPER, _DIGITS + _LOWER, _DIGITS + _LOWER + _UPPER + "+/_-=")
 IDENTIFIERS = (
     b"abstract access account address algorithm api append application argument array async attribute auth authorization "
     b"await base64 bearer boolean buffer bytes cache callback catch certificate char class client code column config "
@@ -66,6 +69,13 @@ def marginal_bytes(before: str, candidate: str, after: str) -> int:
     return len(frame(around + b"\n" + candidate.encode())) - len(frame(around + b"\n"))
 
 
+def random_like(candidate: str) -> str:
+    """A fixed random run of the candidate's length over the least alphabet that has all its characters."""
+    held = set(candidate)
+    alphabet = next(a for a in ALPHABETS if held <= set(a))
+    return hashlib.shake_256(b"random").digest(len(candidate)).translate(bytes(ord(alphabet[i * len(alphabet) >> 8]) for i in range(256))).decode()
+
+
 def find_secrets(text: str | None, context: int = 64, surround: int = 512, novelty: float = 0.8) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every span, by start and then kind; code points, end exclusive."""
     if not text:
@@ -85,7 +95,10 @@ def find_secrets(text: str | None, context: int = 64, surround: int = 512, novel
         body = text[s:e]
         if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
             return False
-        return marginal_bytes(text[max(0, s - surround) : s], body, text[e : e + surround]) >= novelty * len(body)
+        before, after = text[max(0, s - surround) : s], text[e : e + surround]
+        added = marginal_bytes(before, body, after)
+        # zstandard codes long runs at the entropy of their alphabet, so a random one adds fewer bytes than it has characters
+        return added >= novelty * len(body) or added >= novelty * marginal_bytes(before, random_like(body), after)
 
     for m in CANDIDATE.finditer(text):
         if sensitive(m.start()) and novel(*m.span()):

@@ -193,6 +193,21 @@ def test_novelty_of_values_written_against_their_key():
     assert secrets.find_secrets(text)[-1][2] == len(text)
 
 
+def test_novelty_of_long_keys():
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = "The parties agree that each notice is given in writing within thirty days of the event. " * 6
+    for alphabet in (base64, "0123456789ABCDEF"):
+        for n in (64, 128, 400, 800, 1600, 4000):
+            for around in ("", prose):
+                key = "".join(random.Random(n).choices(alphabet, k=n))
+                text = f"{around}\nprivate key: {key}\n{around}"
+                at = text.index(key)
+                assert secrets.find_secrets(text) == [(at, "novel", at + n)], (alphabet, n)
+    words = re.findall("[a-z]{3,}", secrets.__doc__.lower() + toxicity.__doc__.lower())
+    for n in (16, 40, 80):
+        assert secrets.find_secrets("the auth page " + "-".join(words[:n]) + "1 here") == []
+
+
 def test_redaction_keeps_columns(odd):
     out = secrets.redact_secrets(odd)
     assert out.columns == odd.columns and out.schema.simpleString() == odd.schema.simpleString()
