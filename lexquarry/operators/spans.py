@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ DASHES = "‐‑‒–—―−﹣－"
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 NUMBER = re.compile(r"(?:[<>≤≥~+\-(]\s?)*(?:(?:USD|EUR|GBP|Rs\.?)\s?|[$€£¥]\s?)?\.?\d+(?:[.,/:]\d+)*(?:\s?(?:%|[KMB]\b))?\)?", re.IGNORECASE)
 _TOKEN = re.compile(NUMBER.pattern + r"|[^\W\d_]+(?:['’][^\W\d_]+)?|\S", re.IGNORECASE)
+_LETTERS = re.compile(r"[^\W\d_]+")
 _FOLD = {ord(c): "'" for c in SINGLE_QUOTES} | {ord(c): '"' for c in DOUBLE_QUOTES} | {ord(c): "-" for c in DASHES} | {ord(c): None for c in INVISIBLE}
 
 
@@ -177,19 +180,52 @@ def locate(quote: str | None, text: str | None, label: str | None = None) -> Loc
     return found
 
 
+def plain_letters(text: str | None) -> str:
+    """The text folded by all that any reading folds: without invisible characters, case and combining marks."""
+    plain = unicodedata.normalize("NFD", unicodedata.normalize("NFD", (text or "").translate(_FOLD)).casefold())
+    return "".join(c for c in plain if not unicodedata.combining(c))
+
+
+def word_keys(text: str | None) -> list[str]:
+    """The distinct runs of letters of the folded text."""
+    return sorted(set(_LETTERS.findall(plain_letters(text))))
+
+
+def letters_only(text: str | None) -> str:
+    """All letters of the folded text, in order."""
+    return "".join(_LETTERS.findall(plain_letters(text)))
+
+
+def _mapped(fn, kind: str):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            yield column.map(fn)
+
+    return F.pandas_udf(run, kind)
+
+
 def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """quotes (item_id, quote) located in texts (doc_id, text): start, stop, method, places.
 
-    No reading changes a word, so a text can only hold a quote if it holds all its words: the quote's longest word is
-    joined with the texts' words, and only texts that meet are searched, in Arrow batches.
+    No reading changes a folded word, so a text can only hold a quote if it holds all its words: the quote's longest word
+    is joined with the texts' words, and only texts that meet are searched, in Arrow batches. An invisible character may
+    both join and end a word; texts and quotes that have one, and quotes without a letter, meet where the letters follow each
+    other.
     """
-    folded = lambda c: F.lower(F.translate(c, SINGLE_QUOTES + DOUBLE_QUOTES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES)))
-    word = lambda c: F.array_distinct(F.regexp_extract_all(folded(c), F.lit("\\p{L}+"), F.lit(0)))
-    keys = quotes.withColumn("words", word(F.col("quote"))).where(F.size("words") > 0)
+    word, letters = _mapped(word_keys, "array<string>"), _mapped(letters_only, "string")
+    read = quotes.where("quote IS NOT NULL").select("item_id", "quote", word("quote").alias("words"), letters("quote").alias("letters"))
+    unseen = lambda c: F.col(c).rlike(f"[{INVISIBLE}]")
+    loose = (F.size("words") == 0) | unseen("quote")
+    keys = read.where(~loose)
     longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     keys = keys.withColumn("key", longest)
-    pairs = texts.select("doc_id", F.explode(word(F.col("text"))).alias("key")).join(keys, "key").select("item_id", "quote", "words", "doc_id")
-    near = texts.join(pairs, "doc_id").where(F.size(F.array_except("words", word(F.col("text")))) == 0)
+    held = texts.where(~unseen("text")).select("doc_id", "text", word("text").alias("held"))
+    pairs = held.select("doc_id", F.explode("held").alias("key")).join(keys, "key").select("item_id", "quote", "words", "doc_id")
+    near = held.join(pairs, "doc_id").where(F.size(F.array_except("words", "held")) == 0).select("item_id", "quote", "doc_id", "text")
+    run_of = lambda t: t.select("doc_id", "text", letters("text").alias("run"))
+    joined = run_of(texts.where(unseen("text"))).join(read, F.contains("run", "letters")).select("item_id", "quote", "doc_id", "text")
+    bare = run_of(texts.where(~unseen("text"))).join(read.where(loose), F.contains("run", "letters")).select("item_id", "quote", "doc_id", "text")
+    near = near.unionByName(joined).unionByName(bare)
 
     def run(batches):
         for batch in batches:
