@@ -210,9 +210,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     blocks = 1 + total // BLOCK_BYTES  # a block's expected size is below the bound; phrases of a text are at most 13 x its words
     kind = dict(docs.dtypes)[id_col]
-    schema = struct(f"id {kind}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>")
+    keyed = blocks > 1  # passes are merged by row, as ids may be null or repeat
+    schema = struct(f"{'row bigint, ' if keyed else ''}id {kind}, n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>")
     arrow = to_arrow_schema(schema)
     source = pruned(docs, id=id_col, text=text_col)
+    if keyed:
+        source = persisted(spark, source.select(F.monotonically_increasing_id().alias("row"), "id", "text"))
 
     def one_pass(block: int) -> DataFrame:
         rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
@@ -223,16 +226,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             if not made:
                 made.append(Phrases(sent.value, window))
 
-            def answer(ids, texts):
+            def answer(rows, texts):
                 n, spans, names = zip(*search_shard(texts, made[0]))
                 spans = [[{"start": a, "stop": b} for a, b in s] for s in spans]
-                return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip((ids, n, spans, names), arrow)], schema=arrow)
+                return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip((*zip(*rows), n, spans, names), arrow)], schema=arrow)
 
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     ids, texts, size = [], [], 0
-                    for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for *i, t in zip(*[c.to_pylist() for c in part.columns]):
                         n = len(t or "") // 4
                         if ids and size + n > SHARD_WORDS:
                             yield answer(ids, texts)
@@ -253,8 +256,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             parts = parts.unionByName(one_pass(b).where(F.size("spans") > 0))
         merged = (
             persisted(spark, parts)
-            .groupBy("id", "n_words")
-            .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            .groupBy("row")
+            .agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         )
         step = (
             "aggregate(spans, cast(array() as array<struct<start:bigint,stop:bigint>>), (acc, x) -> CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).stop"

@@ -167,6 +167,15 @@ def test_blocks_of_the_benchmark_give_the_same(spark, documents, sf_dir, monkeyp
     assert sorted(map(str, decontaminate.digest_rows(documents, benchmark).collect())) == one
 
 
+def test_blocks_keep_rows_of_one_id_apart(spark, monkeypatch):
+    rows = [(1, "a one two b"), (1, "a b three four"), (1, "a one two b"), (None, "one two c d"), (None, "c d three four"), (2, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = [(1, "one two"), (2, "three four"), (3, "five six"), (4, "a b")]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 5)
+    got = [tuple(r) for r in decontaminate.digest_rows(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()]
+    assert sorted(got, key=str) == sorted(decontaminate.brute_force(rows, items), key=str)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcd"), max_size=30).map(" ".join), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abc"), max_size=7).map(" ".join), max_size=4))
 def test_index_on_small_alphabets(docs, items):
