@@ -18,8 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    state = _state(e)
-    while True:
+    while not _are_stars(e):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,11 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         linked = large.join(least, "u")
         small = linked.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
-        now = _state(e)
-        if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every node is either a root or points at one root only."""
+    nodes = e.select(F.col("u").alias("x"), F.lit(1).alias("points"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("points"), F.lit(1).alias("root")))
+    return nodes.groupBy("x").agg(F.sum("points").alias("points"), F.max("root").alias("root")).where("points > 1 OR points = 1 AND root = 1").isEmpty()
