@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import persisted, pruned, struct
 
 WINDOW = 13
-SHARD_WORDS = 1_500_000
+SHARD_WORDS, SHARD_ROWS = 1_500_000, 50_000
 BLOCK_BYTES = 16_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -231,20 +231,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 spans = [[{"start": a, "stop": b} for a, b in s] for s in spans]
                 return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip((*zip(*rows), n, spans, names), arrow)], schema=arrow)
 
+            # a shard stays open across batches until it is full: phrases are searched once a shard
+            ids, texts, size = [], [], 0
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    ids, texts, size = [], [], 0
-                    for *i, t in zip(*[c.to_pylist() for c in part.columns]):
+                    for *i, t in zip(*[c.to_pylist() for c in batch.slice(at, 512).columns]):
                         n = len(t or "") // 4
-                        if ids and size + n > SHARD_WORDS:
+                        if ids and (size + n > SHARD_WORDS or len(ids) >= SHARD_ROWS):
                             yield answer(ids, texts)
                             ids, texts, size = [], [], 0
                         ids.append(i)
                         texts.append(t)
                         size += n
-                    if ids:
-                        yield answer(ids, texts)
+            if ids:
+                yield answer(ids, texts)
 
         return source.mapInArrow(run, schema)
 
