@@ -2,8 +2,9 @@
 
 The kernel of two words sums, over all character subsequences of four that both hold, the product of their weights; an
 occurrence weighs DECAY for each character skipped inside it (at most GAPS), unbroken runs of six count besides, words
-carry edge marks, and kernels are normalised by the weights of a word's occurrences. So insults with inserted, swapped-in or endless letters and endings stay close to each other. Words are
-lower-cased, common look-alike digits and signs become letters, other signs are skipped.
+carry edge marks, and kernels are normalised by the weights of a word's occurrences. So insults with inserted, swapped-in
+or endless letters and endings stay close to each other. Words are lower-cased, common look-alike digits and signs become
+letters, other signs are skipped.
 
 Training on sentences that inherit their document's label: the words of each toxic sentence that hold subsequences far
 more frequent in toxic than in clean sentences are its witnesses; witnesses and the most similar and random words of
@@ -13,8 +14,11 @@ toxic sentences then name their witnesses by the machine, and it is solved once
 subsequences, the decision is one weight for each subsequence. A logistic curve over the best margins of a text, fitted
 on documents that the machine has not seen, makes the score.
 
-At most MAX_DOCUMENTS labelled documents of each class are learned from, the first by hash of the id; their distinct
-sentences' words go to the driver. Scoring reads every whole text; workers keep a bounded number of word margins.
+Bounds of the training sample, all parameters: MAX_DOCUMENTS labelled documents of each class, the first by hash of the
+id; of each, distinct sentences of distinct words, by hash, up to MAX_LETTERS characters, which go to the driver; as clean
+instances HARD words that lean or score most to the toxic side and OTHER random ones, MAX_NEGATIVES in all; LANDMARKS
+landmarks out of POOL: the most named witnesses, hard and other clean words. Scoring has no bound: it reads every whole
+text; workers keep a bounded number of word margins and compute the rest anew.
 
 Defined results: null and empty texts score as texts without a witness; null labels and rows without a text teach
 nothing; without both classes every score is 0; equal texts score equally; texts of any length are scored whole.
@@ -27,13 +31,17 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_columns, persisted, pruned
 
 MAX_DOCUMENTS = 1500
+MAX_LETTERS = 200_000
+HARD, OTHER, MAX_NEGATIVES = 1500, 4500, 7000
 LANDMARKS = 128
+POOL = (400, 60, 40)
 GAPS = 2
 DECAY = 0.5
 FEATURES = 1 << 18
@@ -45,8 +53,6 @@ _LOOKALIKE = str.maketrans("013457@$", "oieastas")
 _STEPS = [((1 + a, 2 + a + b, 3 + a + b + c), DECAY ** (a + b + c)) for a in range(GAPS + 1) for b in range(GAPS + 1 - a) for c in range(GAPS + 1 - a - b)]
 _STEPS.append(((1, 2, 3, 4, 5), 1.0))
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x2C1B3C6D], dtype=np.uint64)
-#: Square of the kernel norm by folded length.
-_SQUARES = np.array([sum(w * w * max(0, n - at[-1]) for at, w in _STEPS) for n in range(4096)])
 
 
 def folded(word: str) -> str:
@@ -86,9 +92,9 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _norms(words: list[str]) -> np.ndarray:
-    """Kernel norms of folded words."""
+    """Kernel norms of folded words: every step fits as often as the length says."""
     n = np.fromiter(map(len, words), np.int64, len(words))
-    return np.sqrt(np.maximum(np.where(n < len(_SQUARES), _SQUARES[np.minimum(n, len(_SQUARES) - 1)], _SQUARES[-1] / len(_SQUARES) * n), 1e-9))
+    return np.sqrt(np.maximum(sum(w * w * np.maximum(0, n - at[-1]) for at, w in _STEPS), 1e-9))
 
 
 @dataclass
@@ -164,26 +170,32 @@ def _solve(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -
     return w[:-1], float(w[-1])
 
 
-def _landmarks(words: list[str], start: list[str], count: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Farthest-first choice in kernel space; the landmarks, the features they hold (-1: none) and their normalised weights."""
-    pool = list(dict.fromkeys(start + words))
-    who, what, weight = subsequences([folded(w) for w in pool])
-    used, column = np.unique(what, return_inverse=True)
-    norm = _norms([folded(w) for w in pool])
-    rows = np.zeros((len(pool), len(used)), np.float32) if len(pool) * len(used) <= 40_000_000 else None
-    if rows is None:
-        return _landmarks(words[: len(words) // 2], start, count)
-    np.add.at(rows, (who, column), weight / norm[who])
-    chosen, far = [0], 1.0 - rows @ rows[0]
+def _landmarks(pool: list[str], count: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Farthest-first choice in kernel space; the landmarks, the features they hold (-1: none) and their normalised weights.
+
+    Kernels with a landmark are sums over the pool's occurrences: no matrix of words by features is made, however long
+    the words are.
+    """
+    marked = [folded(w) for w in pool]
+    who, what, weight = subsequences(marked)
+    weight = weight / _norms(marked)[who]
+    first = np.searchsorted(who[order := np.argsort(who, kind="stable")], np.arange(len(pool) + 1))
+
+    def features(k: int) -> np.ndarray:
+        own = order[first[k] : first[k + 1]]
+        return np.bincount(what[own], weight[own], FEATURES)
+
+    chosen, far = [0], 1.0 - np.bincount(who, weight * features(0)[what], len(pool))
     while len(chosen) < min(count, len(pool)):
         k = int(np.argmax(far))
         if far[k] < 0.05:
             break
         chosen.append(k)
-        far = np.minimum(far, 1.0 - rows @ rows[k])
+        far = np.minimum(far, 1.0 - np.bincount(who, weight * features(k)[what], len(pool)))
+    used = np.unique(np.concatenate([what[order[first[k] : first[k + 1]]] for k in chosen]))
     at = np.full(FEATURES, -1)
     at[used] = np.arange(len(used))
-    return [pool[k] for k in chosen], at, rows[chosen]
+    return [pool[k] for k in chosen], at, np.array([features(k)[used] for k in chosen], np.float32)
 
 
 def train(docs: list[tuple[int, list[list[str]]]], prior: float | None = None, seed: int = 7) -> Machine | None:
@@ -217,11 +229,12 @@ def train(docs: list[tuple[int, list[list[str]]]], prior: float | None = None, s
     positive = witnesses(lean.__getitem__, max(1.2, float(best_clean)))
     if not positive:
         return None
-    hard = sorted(clean_words, key=lambda w: (-lean[w], w))[:1500]
-    other = [clean_words[k] for k in rng.permutation(len(clean_words))[:4500]]
+    hard = sorted(clean_words, key=lambda w: (-lean[w], w))[:HARD]
+    other = [clean_words[k] for k in rng.permutation(len(clean_words))[:OTHER]]
     negative = list(dict.fromkeys(hard + other))
-    ranked = sorted(positive, key=lambda w: (-positive[w], w))[:400]
-    names, at, rows = _landmarks(hard[:60] + other[:40], ranked, LANDMARKS)
+    ranked = sorted(positive, key=lambda w: (-positive[w], w))
+    pool = [ws[:n] for ws, n in zip((ranked, hard, other), POOL)]
+    names, at, rows = _landmarks(list(dict.fromkeys(sum(pool, []))), LANDMARKS)
     gram = (rows @ rows.T).astype(np.float64)
     values, vectors = np.linalg.eigh(gram)
     good = values > 1e-4 * values[-1]
@@ -233,8 +246,8 @@ def train(docs: list[tuple[int, list[list[str]]]], prior: float | None = None, s
         known = at[what] >= 0
         who, column, weight = who[known], at[what[known]], weight[known]
         kernel = np.zeros((len(words), len(names)))
-        for s in range(0, len(who), 200_000):
-            part = slice(s, s + 200_000)
+        for s in range(0, len(who), 50_000):
+            part = slice(s, s + 50_000)
             np.add.at(kernel, who[part], rows[:, column[part]].T * weight[part, None])
         return (kernel / norm[:, None]) @ whiten
 
@@ -254,7 +267,7 @@ def train(docs: list[tuple[int, list[list[str]]]], prior: float | None = None, s
         every = sorted({w for k in range(len(docs)) for w in flat[k]})
         margin = dict(zip(every, machine.margins(every)))
         # hard negatives of the machine itself, and witnesses named by it
-        negative = list(dict.fromkeys(sorted(clean_words, key=lambda w: (-margin[w], w))[:1500] + negative))[:7000]
+        negative = list(dict.fromkeys(sorted(clean_words, key=lambda w: (-margin[w], w))[:HARD] + negative))[:MAX_NEGATIVES]
         again = witnesses(margin.__getitem__, 0.0)
         positive = again or positive
     held_out = [k for k in range(len(docs)) if not fit[k]] or chosen
@@ -281,6 +294,16 @@ def sentences_of(text: str | None) -> list[list[str]]:
     return [w for s in _SENTENCE.split(text.lower()) if (w := s.split())] if text else []
 
 
+def lesson(text: str | None, letters: int = MAX_LETTERS) -> list[str]:
+    """What one document teaches: distinct sentences, each its distinct words, by hash up to a number of characters."""
+    out = []
+    for line in sorted({" ".join(dict.fromkeys(s)) for s in sentences_of(text)}, key=xxhash.xxh3_64_intdigest):
+        if len(line) <= letters:
+            letters -= len(line)
+            out.append(line)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Machine | None:
     """A machine from at most max_documents labelled documents of each class (docs: id, text; labels: id, toxic)."""
     known = labels.where("id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["id"])
@@ -291,11 +314,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS
     texts = docs.where("text IS NOT NULL").join(F.broadcast(picked), F.col("id") == F.col("picked")).select("id", "text", F.col("toxic").cast("int").alias("toxic"))
 
     def cut(ids, texts, toxic):
-        kept = []
-        for t in texts:
-            sentences = list(dict.fromkeys(" ".join(dict.fromkeys(s)) for s in sentences_of(t)))
-            kept.append(sentences)
-        return ids, toxic, kept
+        return ids, toxic, [lesson(t) for t in texts]
 
     rows = map_columns(texts, cut, "id bigint, toxic int, sentences array<string>", rows=256).collect()
     rows.sort(key=lambda r: (r["id"], r["sentences"]))
