@@ -6,7 +6,8 @@ whole member, beyond the end of its range if need be, and goes on behind it. It
 range, so every record is read once, whatever the ranges.
 
 The writer's tasks write files of names of their own in the shared folder; the manifest, kept in a checkpoint, lists
-those of the attempts that succeeded, so a lost executor leaves at most an unlisted file.
+those of the attempts that succeeded, so a lost executor leaves at most an unlisted file. Archives are a result and
+stay: `archive_pages` reads them when its rows are asked for.
 
 Defined results: a null page is an empty payload; empty payloads equal each other; of rows with one payload those with
 the largest page id are responses, the others revisit it; without any page id all of them are responses; a null URL is
@@ -31,6 +32,7 @@ from .common import persisted, pruned, shared_folder, struct
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 4 << 20
+MOST_TASKS = 20_000
 CHUNK = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -43,14 +45,15 @@ def _urn(page_id) -> str:
     return "<urn:lexquarry:page:none>" if page_id is None else f"<urn:lexquarry:page:{page_id}>"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
-    """One gzip member that holds one record; a revisit holds the HTTP header only."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id, url: str | None, size: int, digest: str, payload: bytes | None, refers_to=None) -> bytes:
+    """One gzip member that holds one record; without a payload a revisit, which holds the HTTP header only."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
-    lines.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
+    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -81,11 +84,21 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds `latest`: the largest page id with the same payload, null for payloads below min_bytes."""
+    """Rows to write: page_id, url, size, digest, latest (the largest page id with the same payload) and html, null for revisits.
+
+    Only the rows that stay responses carry html through a shuffle, dealt by payload and page id; those that revisit a
+    payload are a few bytes each, however many share it.
+    """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).cast("bigint").alias("size"))
-    latest = pages.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("latest"))
-    return pages.join(latest, ["digest", "size"], "left").select("page_id", "url", "html", "latest")
+    columns = ["page_id", "url", "size", "digest", "latest", "html"]
+    whole = pages.where(F.col("size") >= min_bytes) if min_bytes > 0 else pages
+    latest = whole.groupBy("digest", "size").agg(F.max("page_id").alias("latest"))
+    largest = latest.select(F.col("digest").alias("d"), F.col("size").alias("s"), F.col("latest").alias("l"))
+    responses = whole.join(largest, F.expr("digest = d AND size = s AND page_id <=> l"), "left_semi").withColumn("latest", F.col("page_id"))
+    revisits = whole.drop("html").join(latest, ["digest", "size"]).where("NOT page_id <=> latest").withColumn("html", F.lit(None).cast("string"))
+    rows = responses.select(columns).unionByName(revisits.select(columns))
+    return rows if min_bytes <= 0 else rows.unionByName(pages.where(F.col("size") < min_bytes).withColumn("latest", F.col("page_id")).select(columns))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -96,13 +109,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         out, path, size, records = None, "", 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                for page_id, url, html, latest in zip(*[c.to_pylist() for c in batch.slice(at, 64).columns]):
+                for page_id, url, n, digest, latest, html in zip(*[c.to_pylist() for c in batch.slice(at, 64).columns]):
                     if out is None:
                         path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                         fs, inner = pafs.FileSystem.from_uri(path)
                         fs.create_dir(inner.rpartition("/")[0], recursive=True)
                         out = fs.open_output_stream(inner, compression=None, buffer_size=1 << 20)
-                    data = record(page_id, url, html.encode("utf-8", "surrogatepass"), latest, latest is not None and latest != page_id)
+                    payload = None if html is None else html.encode("utf-8", "surrogatepass")
+                    data = record(page_id, url, n, base64.b32encode(bytes.fromhex(digest)).decode(), payload, latest)
                     out.write(data)
                     size, records = size + len(data), records + 1
         if out is not None:
@@ -130,20 +144,20 @@ def records_from(stream, start: int, end: int, size: int) -> Iterator[bytes]:
         at, window = at + k, window[k:]
         if at >= end:
             return
-        inflate, data, used, ok = zlib.decompressobj(31), [], 0, False
+        # the chunks of a long member are read one by one and not kept
+        inflate, data, used, ok, chunk = zlib.decompressobj(31), [], 0, False, window
         try:
             while True:
-                if used == len(window):
+                if not chunk:
                     stream.seek(at + used)
-                    more = stream.read(min(CHUNK, size - at - used))
-                    if not more:
+                    if not (chunk := stream.read(min(CHUNK, size - at - used))):
                         break
-                    window += more
-                data.append(inflate.decompress(window[used:]))
-                used = len(window) - len(inflate.unused_data)
+                data.append(inflate.decompress(chunk))
+                used += len(chunk) - len(inflate.unused_data)
                 if inflate.eof:
                     ok = True
                     break
+                chunk = b""
                 if not b"WARC/1.".startswith(data[0][:7]) and data[0]:
                     break
         except zlib.error:
@@ -151,15 +165,17 @@ def records_from(stream, start: int, end: int, size: int) -> Iterator[bytes]:
         whole = b"".join(data)
         if ok and whole.startswith(b"WARC/1."):
             yield whole
-            at, window = at + used, window[used:]
+            at, window = at + used, inflate.unused_data
         else:  # chance bytes inside a member
             at, window = at + 1, window[1:]
 
 
-def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES, most_tasks: int = MOST_TASKS) -> DataFrame:
     """Records of the files in manifest (path, size): page_id, url, record_type, refers_to, payload_bytes, payload_digest, intact, payload."""
     ranges = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # a number of its own: adaptive execution would put rows this small into one task
+    tasks = manifest.agg(F.sum(F.ceil(F.col("size") / range_bytes)).alias("n")).first()["n"] or 1
+    ranges = ranges.repartition(min(int(tasks), most_tasks), "path", "start")
     schema = struct("page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, intact boolean, payload binary")
     arrow = to_arrow_schema(schema)
 
