@@ -3,7 +3,12 @@
 A page becomes a tree of block elements. Every paragraph gives points (for being one, for its length, for its commas)
 to its ancestors, less with every level; each container's points are discounted by its link density. The container with
 the best score is the article; its siblings that score well, or that are prose with few links, stay with it. Elements
-that are never article text by kind or by name (menus, footers, forms, comments, adverts ...) are dropped beforehand.
+that are never article text by kind or by name (menus, footers, comments, adverts ...) are dropped beforehand.
+
+Names are read one by one. The last word of a name says what it is (`entry-footer` is a footer, `post-content` is
+content), `no-sidebar` and the like say nothing, and words of comments and adverts count anywhere in a name and drop the
+element. A form, and an element with a content name besides a doubtful one, is dropped unless it holds half of the page's
+prose; one with doubtful names alone unless it holds nine tenths.
 
 Defined results: null and empty pages give an empty text; unclosed, overlapping and stray tags are repaired as they
 come; pages of any length are read whole; a page without block markup gives its whole visible text.
@@ -48,54 +53,82 @@ SAME_LEVEL = {
     "tfoot": ("tbody", "tr", "td", "th"),
 }
 SCOPE = frozenset("table ul ol dl article section main div body html blockquote".split())
-NEVER = frozenset("nav footer aside form button dialog menu head input fieldset legend datalist output progress meter map frameset".split())
+NEVER = frozenset("nav footer aside button dialog menu head input fieldset legend datalist output progress meter map frameset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tooltip tablist status".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd td h2 h3 h4 h5 h6 figcaption".split())
 
-_UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|respond|reply|replies"
-    r"|disqus|cookie|cookies|consent|gdpr|footer|foot|header|masthead|menu|menubar|nav|navbar|navigation|navigate|newsletter|notice|notices|notification|alert|pager|pagination"
-    r"|popup|modal|overlay|promo|promotion|promoted|related|recommend|recommended|recommendations|share|sharing|social|sidebar|side|sponsor|sponsored|sponsors|subscribe"
-    r"|subscription|signup|login|search|skip|toolbar|widget|widgets|outbrain|taboola|paywall|disclaimer|copyright|legal)(?:$|[\s_-]|\d)"
-    r"|sidebar|advert|sponsor|comment-|-comment|cookie|navbar|newsletter|breadcrumb",
-    re.IGNORECASE,
+#: Words of names of what readers and advertisers add.
+FOREIGN = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adsense comment comments commentlist respond reply replies disqus outbrain taboola"
+    " sponsor sponsored sponsors promo promotion promoted related recommend recommended recommendations".split()
+)
+#: Words of names of what surrounds an article.
+AROUND = frozenset(
+    "banner breadcrumb breadcrumbs cookie cookies consent gdpr footer foot header masthead menu menubar nav navbar navigation navigate newsletter notice notices"
+    " notification alert pager pagination popup modal overlay share sharing social sidebar side subscribe subscription signup login search skip toolbar widget widgets"
+    " paywall disclaimer copyright legal".split()
 )
-_LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|hentry|page)(?:$|[\s_-])", re.IGNORECASE)
+CONTENT = frozenset("article articles body content entry main post story text hentry page prose".split())
+#: First words after which a name tells of something else.
+ABOUT = frozenset("no not has have with without hide show".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+KEPT, MIXED, DOUBTFUL, GONE = range(4)
+#: Share of a page's prose from which such an element is the article or holds it.
+MOST = {MIXED: 0.5, DOUBTFUL: 0.9}
+
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class _Node:
     __slots__ = ("name", "parent", "kids", "drop", "points", "chars", "linked", "bonus")
 
-    def __init__(self, name: str, parent: _Node | None, drop: bool, bonus: float = 0.0):
+    def __init__(self, name: str, parent: _Node | None, drop: int, bonus: float = 0.0):
         self.name, self.parent, self.drop, self.bonus = name, parent, drop, bonus
         self.kids: list = []
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _dropped(name: str, attrs: str, within: bool) -> tuple[bool, float]:
-    """Whether an element is never article text, and its bonus as a container."""
+def _named(names: str) -> tuple[int, bool]:
+    """What class and id names say of an element, and whether one of them says content."""
+    foreign = around = content = False
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not words or words[0] in ABOUT:
+            continue
+        if not FOREIGN.isdisjoint(words):
+            foreign = True
+        elif words[-1] in CONTENT:
+            content = True
+        elif not AROUND.isdisjoint(words):
+            around = True
+        elif not CONTENT.isdisjoint(words):
+            content = True
+    return GONE if foreign else KEPT if not around else MIXED if content else DOUBTFUL, content
+
+
+def _dropped(name: str, attrs: str, within: bool) -> tuple[int, float]:
+    """Whether an element is article text, as far as its kind and names say, and its bonus as a container."""
     if name in NEVER or (name == "header" and not within):
-        return True, 0.0
+        return GONE, 0.0
+    bonus, drop = 5.0 if name in ("article", "main") else 0.0, MIXED if name == "form" else KEPT
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False, 5.0 if name in ("article", "main") else 0.0
+        return drop, bonus
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(attrs)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, 0.0
+        return GONE, 0.0
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs), re.IGNORECASE):
-        return True, 0.0
+        return GONE, 0.0
     label = f"{found.get('class', '')} {found.get('id', '')}".strip()
-    bonus = 5.0 if name in ("article", "main") else 0.0
     if label and name not in ("html", "body", "article", "main", "h1"):
-        if _UNLIKELY.search(label) and not (_LIKELY.search(label) and name in ("section",)):
-            return True, 0.0
-        if _LIKELY.search(label):
+        said, content = _named(label)
+        drop = max(drop, said)
+        if content:
             bonus += 2.0
-    return False, bonus
+    return drop, bonus
 
 
 def _tree(html: str) -> _Node:
-    root = _Node("html", None, False)
+    root = _Node("html", None, KEPT)
     here, linked, articles, at = root, 0, 0, 0
     for m in _TAG.finditer(html):
         if m.start() > at:
@@ -132,8 +165,6 @@ def _tree(html: str) -> _Node:
             linked += not m["attrs"].rstrip().endswith("/")
             continue
         if name in INLINE:
-            if m["attrs"] and _dropped(name, m["attrs"], articles > 0)[0] and "hidden" in m["attrs"].lower():
-                pass
             continue
         if name in VOID:
             here.kids.append((" ", False))
@@ -148,7 +179,7 @@ def _tree(html: str) -> _Node:
                 here = here.parent
             linked = 0
         drop, bonus = _dropped(name, m["attrs"], articles > 0)
-        kid = _Node(name, here, drop or here.drop, bonus)
+        kid = _Node(name, here, drop, bonus)
         here.kids.append(kid)
         if not m["attrs"].endswith("/") or name in CLOSES_P:
             here = kid
@@ -162,6 +193,33 @@ def _clean(pieces: list[str]) -> str:
     return _SPACE.sub(" ", unescape("".join(pieces))).strip()
 
 
+def _settle(root: _Node) -> None:
+    """Keep doubtful elements that hold most of the page's prose, drop the others and all that is in a dropped one."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.drop != GONE:
+            order.append(node)
+            stack += [k for k in node.kids if isinstance(k, _Node)]
+    if any(n.drop for n in order):
+        prose: dict[_Node, int] = {}
+        for node in reversed(order):
+            own = sum(len(k[0].strip()) for k in node.kids if not isinstance(k, _Node) and not k[1])
+            prose[node] = prose.get(node, 0) + (own if node.name in PARAGRAPHS or own >= 25 else 0)
+            if node.parent is not None:
+                prose[node.parent] = prose.get(node.parent, 0) + prose[node]
+        for node in order:
+            if node.drop:
+                node.drop = KEPT if prose[node] >= MOST[node.drop] * prose[root] > 0 else GONE
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for kid in node.kids:
+            if isinstance(kid, _Node):
+                kid.drop = max(kid.drop, node.drop)
+                stack.append(kid)
+
+
 def _score(root: _Node) -> list[_Node]:
     """Fill chars, linked and points of every kept element; the elements in page order."""
     order, stack = [], [root]
@@ -224,6 +282,7 @@ def extract_blocks(html: str | None) -> list[str]:
     if not html or not html.strip():
         return []
     root = _tree(html)
+    _settle(root)
     order = _score(root)
     holders = [n for n in order if n.points > 0]
     out: list[str] = []

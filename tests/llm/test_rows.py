@@ -8,6 +8,7 @@ import io
 import os
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -56,6 +57,21 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     assert {r.score for r in toxicity.digest_rows(odd, labels.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_on_long_words_and_ties(spark):
+    rng = random.Random(2)
+    long = lambda: "".join(rng.choices("abcdefghijklmnop", k=1500))
+    taught = [(1, [[long(), "zwickheim"], ["zwickung", long()]]) for _ in range(220)] + [(0, [[long(), "table"]]) for _ in range(220)]
+    machine = toxicity.train(taught)
+    assert machine.margins(["zwickheim"])[0] > machine.margins(["table"])[0]
+    assert toxicity.train([(1, [["a", "b"]]), (0, [["a", "b"]])] * 20) is None  # nothing tells the classes apart
+    words = ["x" * n for n in (1, 4, 5, 4095, 4096, 9000)]
+    norms = [sum(float(w) ** 2 for w in toxicity.subsequences([toxicity.folded(x)])[2]) for x in words]
+    assert toxicity._norms([toxicity.folded(x) for x in words]) ** 2 == pytest.approx([max(n, 1e-9) for n in norms])
+    rows = [(1, "zwickheim"), (1, "zwickheim"), (2, None), (3, "table")]
+    found = toxicity.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), machine).collect()
+    assert len(found) == 4 and len({r.score for r in found if r.id == 1}) == 1
+
+
 def test_kernel_tolerates_gaps():
     near = lambda a, b: _kernel(a, b) / (_kernel(a, a) * _kernel(b, b)) ** 0.5
     assert near("moron", "mo-ron") == pytest.approx(1.0) and near("idiot", "1diot") == pytest.approx(1.0)
@@ -138,6 +154,41 @@ def test_never_fails(parts):
     assert out == " ".join(out.split())
 
 
+PROSE = "The council met, as planned, on the first floor of the old town hall, and spoke about the bridge for two hours, with no result. " * 3
+OTHER = "Readers, friends and neighbours, write to us, or call, whenever you have something to say about this page of ours. "
+ARTICLE = f"<h1>Bridge</h1><p>{PROSE}</p><p>{PROSE}</p>"
+WANT = f"Bridge {PROSE.strip()} {PROSE.strip()}"
+LAYOUTS = [
+    f"<div class='post-content no-sidebar'>{ARTICLE}</div>",
+    f"<div class='main side-by-side'>{ARTICLE}</div>",
+    f"<form id=aspnet action=/x><div class=wrap>{ARTICLE}</div></form>",
+    f"<div class='widget-page content'><div class=nav-main>{ARTICLE}</div></div>",
+    f"<div id=content class=has-sidebar><div class=entry>{ARTICLE}</div><div class=sidebar><p>{OTHER}</p></div></div>",
+    f"<main>{ARTICLE}</main><div class='article-comments'><p>{OTHER * 12}</p></div>",
+    f"<div class=story>{ARTICLE}<div class=entry-footer><p>{OTHER}</p></div></div>",
+    f"<div class=page-header><p>{OTHER}</p></div><article>{ARTICLE}</article><div class='cookie-notice'><p>{OTHER}</p></div>",
+    f"<div class=content>{ARTICLE}</div><div class='content related'><p>{OTHER * 9}</p></div>",
+    f"<article>{ARTICLE}<form><p>{OTHER}</p><input></form></article>",
+    f"<table><tr><td class=leftMenu><a href=a>x</a><td class=bodyText>{ARTICLE}<td class=siteSidebar>{OTHER}</table>",
+    f"<div class=siteNavigation><ul><li><a href=a>one</a></ul></div><div class=articleBody>{ARTICLE}</div><div class=newsletterSignup><p>{OTHER}</p></div>",
+    f"<body class='page sidebar-left'><div class=layout>{ARTICLE}</div><div role=complementary><p>{OTHER}</p></div>",
+    f"<div class=ad-slot><p>{OTHER * 20}</p></div><section class=post>{ARTICLE}</section>",
+]
+
+
+@pytest.mark.parametrize("html", LAYOUTS)
+def test_layouts_give_the_article_alone(html):
+    assert html_extract.extract_text(html) == WANT
+
+
+def test_pages_with_odd_rows(spark, none):
+    rows = [(1, None, LAYOUTS[0], "t", 1), (1, None, LAYOUTS[0], "t", 1), (None, "u", "", None, 2), (3, "u", "<p>" + "word " * 200_000, "x", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars bigint")
+    got = [tuple(r) for r in html_extract.extract_pages(pages).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, WANT, len(WANT))] * 2 + [(None, "u", "", 0), (3, "u", ("word " * 200_000).strip(), 999_999)], key=str)
+    assert html_extract.extract_pages(pages.where("false")).count() == 0
+
+
 def test_pages_of_the_table(spark, sf_dir):
     rows = html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     assert all(r.n_chars == len(r.text) for r in rows) and sum(r.n_chars > 0 for r in rows) >= len(rows) - 1
@@ -222,8 +273,6 @@ def test_round_trip_equals_sql(spark, sf_dir, tmp_path):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     pages = pages.unionByName(pages.limit(9).selectExpr("page_id + 1000 AS page_id", "url", "html")).unionByName(pages.limit(3).selectExpr("page_id + 2000 AS page_id", "NULL AS url", "CAST(NULL AS STRING) AS html"))
     pages.write.parquet(str(tmp_path / "p"))
-    (tmp_path / "pages.parquet").write_bytes(b"".join(f.read_bytes() for f in list((tmp_path / "p").glob("*.parquet"))[:0]) or b"")
-    os.remove(tmp_path / "pages.parquet")
     pages = spark.read.parquet(str(tmp_path / "p"))
     pages.coalesce(1).write.parquet(str(tmp_path / "one"))
     os.rename(next((tmp_path / "one").glob("*.parquet")), tmp_path / "pages.parquet")
@@ -237,11 +286,26 @@ def test_empty_and_missing_ids(spark):
     assert warc.digest_rows(spark, spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_long_payloads_are_read_in_one_go():
+    noise = random.Random(5).randbytes(40_000_000)
+    data = b"".join(warc.record(k, None, len(p), warc.payload_digest(p), p) for k, p in enumerate((b"a", noise, b"b")))
+    began, step = time.time(), warc.RANGE_BYTES
+    got = [warc.parse(r)["payload"] for s in range(0, len(data), step) for r in warc.records_from(io.BytesIO(data), s, min(len(data), s + step), len(data))]
+    assert got == [b"a", noise, b"b"] and time.time() - began < 30
+
+
+def test_archives_are_read_by_many_tasks(spark, sf_dir, tmp_path):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    manifest = warc.write_archives(warc.with_revisits(pages), f"file://{tmp_path}/w")
+    read = warc.read_archives(manifest, range_bytes=4_000)
+    assert read.count() == pages.count() and read.rdd.getNumPartitions() >= 8
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=400), min_size=1, max_size=8), st.integers(1, 900))
 def test_every_split_owns_each_record_once(payloads, size):
     payloads = [p + warc.MAGIC * (k % 3) for k, p in enumerate(payloads)]
-    data = b"".join(warc.record(k, None, p) for k, p in enumerate(payloads))
+    data = b"".join(warc.record(k, None, len(p), warc.payload_digest(p), p) for k, p in enumerate(payloads))
     got = [warc.parse(r)["payload"] for s in range(0, len(data), size) for r in warc.records_from(io.BytesIO(data), s, min(len(data), s + size), len(data))]
     assert got == payloads
 
