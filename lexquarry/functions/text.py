@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 # Apostrophes that fold to one, and the words that ranking leaves out.
 APOSTROPHES = "‘’‚‛ʼ`´′＇"
 STOPWORDS = (
-    "a an and are as at be by for from has have in is it its of on or that the this to was were will with "
-    "what which who whom does do did how when where under any"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this",
+    "to", "was", "were", "will", "with", "what", "which", "who", "whom", "does", "do", "did", "how", "when", "where", "under", "any",
+)
 TOKEN = "[a-z0-9]+(?:'[a-z]+)?"
 HEADING_WEIGHT = 3
 
@@ -29,7 +29,7 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(words(text), lambda w: ~w.isin(STOPWORDS))
+    return F.filter(words(text), lambda w: ~w.isin(*STOPWORDS))
 
 
 def plain_words(text: Column) -> Column:

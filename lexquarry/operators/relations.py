@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from .links import references
+from .links import LISTED, MENTION, OF_STATUTE
 
 # Words that rank parts, and that replace text.
 PARTS = r"(?:this\s+)?(?:Agreement|Schedule\s+\w+|Schedules?|Amendment(?:\s+No\.\s*\d+)?|Order\s+Forms?|Exhibit\s+\w+|Annex\s+\w+|Terms)"
@@ -17,6 +17,12 @@ _SENTENCE = re.compile(r"[^.;!?]+[.;!?]?")
 MOST = 24
 
 
+def clauses(text: str) -> tuple[str, ...]:
+    """Distinct clause numbers that a sentence names, those of statutes left out."""
+    own = [m[0] for m in re.finditer(MENTION, text) if not re.search(OF_STATUTE, m[0])]
+    return tuple(dict.fromkeys(n for m in own for n in re.findall(LISTED, m)))
+
+
 class Relation(NamedTuple):
     kind: str  # replacement or precedence
     start: int
@@ -31,7 +37,7 @@ def relations_in(text: str | None) -> list[Relation]:
     for m in _SENTENCE.finditer(text or ""):
         s = m[0]
         date = _DATE.search(s)
-        if _REPLACE.search(s) and (named := tuple(dict.fromkeys(references(s)))):
+        if _REPLACE.search(s) and (named := clauses(s)):
             out.append(Relation("replacement", m.start(), m.end(), named, date and date[1]))
         elif p := _PRECEDENCE.search(s):
             parts = [re.sub(r"\s+", " ", x[0]).strip() for x in _PART.finditer(s)]

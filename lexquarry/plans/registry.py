@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, families, layout, quotes, record, retrieval, review, texts, timeline, trust, values  # noqa: F401
+from . import evaluation, families, layout, links, quotes, record, retrieval, review, texts, timeline, trust, values  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_topk"

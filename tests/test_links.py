@@ -1,42 +1,59 @@
 from __future__ import annotations
 
-from lexquarry.operators.links import Section, definitions, edges_of, follow, link_sections, references
+import pytest
+from pyspark.sql import functions as F
+
+from lexquarry.operators import links
 from lexquarry.operators.numbering import letters, printed_numbers, roman
 from lexquarry.operators.relations import assess, in_force, nearest, relations_in
 from lexquarry.operators.textdiff import common_items, shared_run, word_diff
 
 CLAUSES = [
-    Section(0, "1", "Definitions", "“Customer Data” means data of the customer. “including” means “including without limitation”."),
-    Section(1, "2", "Use", "The supplier may use CUSTOMER DATA under Sections 3 and 4.2, not Section 365 of the Bankruptcy Code."),
-    Section(2, "3", "Fees", "Fees are in Schedule A."),
-    Section(3, "4", "Term", "One year."),
-    Section(4, "9", "Changes", "Section 2 is hereby amended. Notwithstanding Clause 3, nothing else changes."),
-    Section(5, "", "Schedule A", "Prices."),
+    (0, "1", "Definitions", "“Customer Data” means data of the customer. “including” means “including without limitation”."),
+    (1, "2", "Use", "The supplier may use Customer Data under Sections 3 and 4.2, not Section 365 of the Bankruptcy Code."),
+    (2, "3", "Fees", "Fees are in Schedule A."),
+    (3, "4", "Term", "One year."),
+    (4, "9", "Changes", "Section 2 is hereby amended. Notwithstanding Clause 3, nothing else changes."),
+    (5, "", "Schedule A", "Prices."),
 ]
 
 
-def test_definitions_and_references():
-    assert definitions(CLAUSES[0].text) == ["Customer Data"]
-    assert references(CLAUSES[1].text) == ["3", "4.2"] and references(None) == []
+@pytest.fixture(scope="module")
+def sections(spark):
+    return spark.createDataFrame([(7, *s) for s in CLAUSES] + [(9, 0, "1", None, None)], "doc_id bigint, ordinal int, number string, heading string, text string")
+
+
+def rows(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_definitions_and_references(spark, sections):
+    assert rows(links.definitions(sections), "doc_id", "term", "home") == [(7, "Customer Data", 0)]
+    texts = [CLAUSES[1][3], None, "§§ 4.1, 4.2 and 5(a) & 6; clause 7.", "Section 2(a) of the Act", "Articles 3 or 4"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(links.numbers(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [["3", "4.2"], [], ["4.1", "4.2", "5", "6", "7"], [], ["3", "4"]]
 
 
-def test_edges():
-    got = {(e.source, e.target, e.kind) for e in edges_of(CLAUSES)}
-    assert {(1, 0, "definition"), (1, 2, "reference"), (1, 3, "reference"), (2, 5, "attachment"), (1, 4, "amendment"), (2, 4, "override")} <= got
+def test_edges(sections):
+    got = rows(links.links(sections), "source", "place", "target", "kind")
+    assert got == [(1, 1, 4, "amendment"), (1, 2, 0, "definition"), (1, 3, 2, "reference"), (1, 4, 3, "reference"), (2, 1, 4, "override"), (2, 2, 5, "reference"), (4, 1, 1, "reference"), (4, 2, 2, "reference")]
 
 
-def test_following_keeps_its_budgets():
-    edges = edges_of(CLAUSES)
-    added = follow(CLAUSES, [1], edges)
-    assert [e.target for e in added] == [4, 0] and len(added) <= 2
-    assert follow(CLAUSES, [1], edges, window=len(CLAUSES[1].text)) == []
+def test_capitals_count_in_runs_only(spark):
+    text = [(1, 0, "1", "", "“Net Fee” means x. “Policy” means y."), (1, 1, "2", "", "NET FEE is due."), (1, 2, "3", "", "NO NET FEE SHALL BE DUE."), (1, 3, "4", "", "The policies and Net Fees.")]
+    s = spark.createDataFrame(text, "doc_id bigint, ordinal int, number string, heading string, text string")
+    assert rows(links.uses(s, links.definitions(s)), "source", "term") == [(2, "Net Fee"), (3, "Net Fee")]
 
 
-def test_links_in_spark(spark):
-    rows = [(7, *s) for s in CLAUSES]
-    sections = spark.createDataFrame(rows, "doc_id bigint, ordinal int, number string, heading string, text string")
-    ranked = spark.createDataFrame([(7, 1, 1, 1), (8, 1, 0, 1)], "doc_id bigint, query_id bigint, ordinal int, rank int")
-    assert [(r.source, r.target, r.kind) for r in link_sections(sections, ranked).orderBy("place").collect()] == [(1, 4, "amendment"), (1, 0, "definition")]
+def test_following_keeps_its_budgets(spark, sections):
+    found = links.links(sections)
+    ranked = spark.createDataFrame([(7, 1, 1, 0), (8, 1, 0, 0)], "doc_id bigint, query_id bigint, ordinal int, rank int")
+    assert rows(links.follow(sections, ranked, found), "doc_id", "step", "source", "target", "kind") == [(7, 1, 1, 4, "amendment"), (7, 2, 1, 0, "definition")]
+    assert links.follow(sections, ranked, found, window=len(CLAUSES[1][3])).count() == 0
+    added = links.follow(sections, ranked, found)
+    assert rows(links.left_out(found, ranked, added), "target") == []
+    assert rows(links.left_out(found, ranked, added.where("step = 2")), "source", "target") == [(1, 4)]
+    assert rows(links.unseen(sections, ranked), "number") == [("3",)] and rows(links.unknown(sections), "number") == [("4.2",)]
 
 
 def test_relations():
