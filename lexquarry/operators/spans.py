@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import pandas as pd
@@ -20,15 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.session import ensure_checkpoint_dir
+
 # What normalisation unifies and deletes.
 SINGLE_QUOTES = "‘’‚‛ʼ`´′＇"
 DOUBLE_QUOTES = "“”„‟«»″＂"
 DASHES = "‐‑‒–—―−﹣－"
-INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+# The code points that Unicode lets a reader ignore, first and last of each range.
+INVISIBLE = (
+    (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
+    (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A),
+    (0xE0000, 0xE0FFF),
+)
+_UNSEEN = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in INVISIBLE) + "]"
 NUMBER = re.compile(r"(?:[<>≤≥~+\-(]\s?)*(?:(?:USD|EUR|GBP|Rs\.?)\s?|[$€£¥]\s?)?\.?\d+(?:[.,/:]\d+)*(?:\s?(?:%|[KMB]\b))?\)?", re.IGNORECASE)
 _TOKEN = re.compile(NUMBER.pattern + r"|[^\W\d_]+(?:['’][^\W\d_]+)?|\S", re.IGNORECASE)
 _LETTERS = re.compile(r"[^\W\d_]+")
-_FOLD = {ord(c): "'" for c in SINGLE_QUOTES} | {ord(c): '"' for c in DOUBLE_QUOTES} | {ord(c): "-" for c in DASHES} | {ord(c): None for c in INVISIBLE}
+_FOLD = {ord(c): "'" for c in SINGLE_QUOTES} | {ord(c): '"' for c in DOUBLE_QUOTES} | {ord(c): "-" for c in DASHES} | {c: None for a, b in INVISIBLE for c in range(a, b + 1)}
 
 
 class Located(NamedTuple):
@@ -68,15 +77,16 @@ def _word(c: str) -> bool:
 
 
 class Bounds:
-    """Edges of one text: where a place may begin or end."""
+    """Edges of one text as a reader sees it, without invisible characters: where a place may begin or end."""
 
     def __init__(self, text: str):
-        self.text = text
+        self.gone = [m.start() for m in re.finditer(_UNSEEN, text)]
+        self.text = text = re.sub(_UNSEEN, "", text) if self.gone else text
         spans = [m.span() for m in NUMBER.finditer(text)]
         self.starts, self.ends = [s for s, _ in spans], [e for _, e in spans]
 
     def edge(self, at: int) -> bool:
-        t = self.text
+        t, at = self.text, at - bisect_left(self.gone, at)
         if at <= 0 or at >= len(t):
             return True
         if _word(t[at - 1]) and _word(t[at]):
@@ -120,29 +130,52 @@ def _clause_letters(text: str) -> list[str]:
     return re.findall(r"\((\w)\)", text.translate(_FOLD))
 
 
-def _ladder(quote: str, text: str) -> Located | None:
-    if not any(c.isalnum() for c in quote):
-        return None
-    bounds = Bounds(text)
-    if found := _places(text, quote, None, bounds):
-        return Located(found[0], found[1], "exact", found[2])
-    norm, at = normalized_with_map(text)
-    nq = normalized_with_map(quote)[0].strip()
-    if not nq:
-        return None
-    if found := _places(norm, nq, at, bounds):
-        return Located(found[0], found[1], "normalized", found[2])
-    fold, back = folded_with_map(norm, at)
-    letters = _clause_letters(quote)
-    if found := _places(fold, nq.casefold(), back, bounds, lambda s, e: _clause_letters(text[s:e]) == letters):
-        return Located(found[0], found[1], "casefold", found[2])
-    mine, theirs = typed_tokens(quote), typed_tokens(text)
-    want, have = [t[0] for t in mine], [t[0] for t in theirs]
-    hits = [i for i in range(len(have) - len(want) + 1) if have[i] == want[0] and have[i : i + len(want)] == want] if want else []
-    hits = [i for i in hits if bounds.both(theirs[i][1], theirs[i + len(want) - 1][2]) and _clause_letters(text[theirs[i][1] : theirs[i + len(want) - 1][2]]) == letters]
-    if hits:
-        return Located(theirs[hits[0]][1], theirs[hits[0] + len(want) - 1][2], "typed", len(hits))
-    return None
+class Reading:
+    """The readings of one text, each made when a quote first needs it."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def bounds(self) -> Bounds:
+        return Bounds(self.text)
+
+    @cached_property
+    def normalized(self) -> tuple[str, list[int]]:
+        return normalized_with_map(self.text)
+
+    @cached_property
+    def folded(self) -> tuple[str, list[int]]:
+        return folded_with_map(*self.normalized)
+
+    @cached_property
+    def typed(self) -> tuple[list[str], list[tuple[str, int, int]]]:
+        found = typed_tokens(self.text)
+        return [t[0] for t in found], found
+
+    def ladder(self, quote: str) -> Located | None:
+        if not any(c.isalnum() for c in quote):
+            return None
+        if quote in self.text and (found := _places(self.text, quote, None, self.bounds)):
+            return Located(found[0], found[1], "exact", found[2])
+        nq = normalized_with_map(quote)[0].strip()
+        if not nq:
+            return None
+        if found := _places(*self._in(self.normalized, nq), self.bounds):
+            return Located(found[0], found[1], "normalized", found[2])
+        letters = _clause_letters(quote)
+        if found := _places(*self._in(self.folded, nq.casefold()), self.bounds, lambda s, e: _clause_letters(self.text[s:e]) == letters):
+            return Located(found[0], found[1], "casefold", found[2])
+        want = [t[0] for t in typed_tokens(quote)]
+        have, at = self.typed
+        hits = [i for i in range(len(have) - len(want) + 1) if have[i] == want[0] and have[i : i + len(want)] == want] if want else []
+        spans = [(at[i][1], at[i + len(want) - 1][2]) for i in hits]
+        spans = [(s, e) for s, e in spans if self.bounds.both(s, e) and _clause_letters(self.text[s:e]) == letters]
+        return Located(*spans[0], "typed", len(spans)) if spans else None
+
+    @staticmethod
+    def _in(reading: tuple[str, list[int]], needle: str) -> tuple[str, str, list[int]]:
+        return reading[0], needle, reading[1]
 
 
 def strip_label(quote: str, label: str) -> str | None:
@@ -170,12 +203,13 @@ def strip_label(quote: str, label: str) -> str | None:
     return None
 
 
-def locate(quote: str | None, text: str | None, label: str | None = None) -> Located | None:
+def locate(quote: str | None, text: str | Reading | None, label: str | None = None) -> Located | None:
     if not quote or not quote.strip() or not text:
         return None
-    found = _ladder(quote, text)
+    text = Reading(text) if isinstance(text, str) else text
+    found = text.ladder(quote)
     if found is None and label and (rest := strip_label(quote, label)):
-        found = _ladder(rest, text)
+        found = text.ladder(rest)
         return found and found._replace(method=f"unprefixed:{found.method}")
     return found
 
@@ -207,41 +241,44 @@ def _mapped(fn, kind: str):
 def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """quotes (item_id, quote) located in texts (doc_id, text): start, stop, method, places.
 
-    No reading changes a folded word, so a text can only hold a quote if it holds all its words: the quote's longest word
-    is joined with the texts' words, and only texts that meet are searched, in Arrow batches. An invisible character may
-    both join and end a word; texts and quotes that have one, and quotes without a letter, meet where the letters follow each
-    other.
+    No reading changes a folded word, so a text can only hold a quote if it holds all its words: the quote's rarest word
+    is joined with the texts' words, and only texts that have the others too are searched, in Arrow batches. Rows arrive
+    by text, whose readings are made once. An invisible character may join two words; texts and quotes that have one, and
+    quotes without a letter, meet where the letters follow each other.
     """
+    spark = quotes.sparkSession
+    ensure_checkpoint_dir(spark)
     word, letters = _mapped(word_keys, "array<string>"), _mapped(letters_only, "string")
+    loose = (F.size("words") == 0) | F.col("quote").rlike(_UNSEEN)
     read = quotes.where("quote IS NOT NULL").select("item_id", "quote", word("quote").alias("words"), letters("quote").alias("letters"))
-    unseen = lambda c: F.col(c).rlike(f"[{INVISIBLE}]")
-    loose = (F.size("words") == 0) | unseen("quote")
-    keys = read.where(~loose)
-    longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keys = keys.withColumn("key", longest)
-    held = texts.where(~unseen("text")).select("doc_id", "text", word("text").alias("held"))
-    pairs = held.select("doc_id", F.explode("held").alias("key")).join(keys, "key").select("item_id", "quote", "words", "doc_id")
-    near = held.join(pairs, "doc_id").where(F.size(F.array_except("words", "held")) == 0).select("item_id", "quote", "doc_id", "text")
+    read = read.withColumn("loose", loose).checkpoint()
+    unseen = F.col("text").rlike(_UNSEEN)
+    asked = read.where("NOT loose").select("item_id", "words", F.explode("words").alias("key"))
+    # of a text's words only those that a quote asks for are kept
+    held = texts.where(~unseen).select("doc_id", F.explode(word("text")).alias("key")).join(asked.select("key").distinct(), "key", "left_semi").checkpoint()
+    common = held.groupBy("key").agg(F.count("*").alias("texts"))
+    rarest = asked.join(common, "key", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("n"), "key")).alias("m"), F.first("words").alias("words"))
+    met = held.join(rarest.select("item_id", "words", F.col("m.key").alias("key")), "key").select("doc_id", "item_id", "words")
+    own = held.groupBy("doc_id").agg(F.collect_set("key").alias("own"))
+    met = met.join(own, "doc_id").where(F.size(F.array_except("words", "own")) == 0).select("doc_id", "item_id")
+    near = texts.where(~unseen).join(met, "doc_id").join(read.select("item_id", "quote"), "item_id")
     run_of = lambda t: t.select("doc_id", "text", letters("text").alias("run"))
-    joined = run_of(texts.where(unseen("text"))).join(read, F.contains("run", "letters")).select("item_id", "quote", "doc_id", "text")
-    bare = run_of(texts.where(~unseen("text"))).join(read.where(loose), F.contains("run", "letters")).select("item_id", "quote", "doc_id", "text")
-    near = near.unionByName(joined).unionByName(bare)
+    columns = ["item_id", "quote", "doc_id", "text"]
+    near = near.select(columns).unionByName(run_of(texts.where(unseen)).join(read, F.contains("run", "letters")).select(columns))
+    if not (bare := read.where("loose")).isEmpty():
+        near = near.unionByName(run_of(texts.where(~unseen)).join(bare, F.contains("run", "letters")).select(columns))
 
     def run(batches):
+        last: tuple = (None, None)
         for batch in batches:
-            rows = batch.to_pylist()
-            found = [(r["item_id"], r["doc_id"], locate(r["quote"], r["text"])) for r in rows]
-            found = [(i, d, f) for i, d, f in found if f]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.int64()),
-                    pa.array([x[2].start for x in found], pa.int64()),
-                    pa.array([x[2].end for x in found], pa.int64()),
-                    pa.array([x[2].method for x in found], pa.string()),
-                    pa.array([x[2].count for x in found], pa.int64()),
-                ],
-                names=["item_id", "doc_id", "start", "stop", "method", "places"],
-            )
-
-    return near.select("item_id", "quote", "doc_id", "text").mapInArrow(run, "item_id bigint, doc_id bigint, start bigint, stop bigint, method string, places bigint")
+            found = []
+            for item, quote, doc, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if last[0] != text:
+                    last = text, Reading(text)
+                if place := locate(quote, last[1]):
+                    found.append((item, doc, *place))
+            order = ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.string()), (5, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in order], names=["item_id", "doc_id", "start", "stop", "method", "places"])
+
+    near = near.repartition("doc_id").sortWithinPartitions("doc_id")
+    return near.select(columns).mapInArrow(run, "item_id bigint, doc_id bigint, start bigint, stop bigint, method string, places bigint")

@@ -53,14 +53,14 @@ def quote_unique_flag(t) -> DataFrame:
 
 
 @query(f"""
-WITH {SQL_SECTIONS}, q AS (SELECT item_id, split_part(text, chr(10), 1) AS quote FROM benchmark), hit AS (SELECT item_id, doc_id, min(ordinal) AS ordinal, min(CASE WHEN ordinal = 0 THEN 0 END) AS cited
+WITH {SQL_SECTIONS}, q AS (SELECT item_id, text AS quote FROM benchmark WHERE text <> ''), hit AS (SELECT item_id, doc_id, min(ordinal) AS ordinal, min(CASE WHEN ordinal = 0 THEN 0 END) AS cited
 FROM q JOIN sections ON contains(sections.text, q.quote) GROUP BY 1, 2)
 SELECT item_id, doc_id, coalesce(cited, ordinal)::INT AS ordinal, cited IS NULL AS relocated FROM hit
 """)
 def quote_relocated(t) -> DataFrame:
     """The cited section (the first) if it holds the quote, else the next candidate that does."""
     lines = sections(t.documents).withColumn("doc_id", F.struct("doc_id", "ordinal"))
-    q = t.benchmark.select("item_id", F.substring_index("text", "\n", 1).alias("quote"))
+    q = t.benchmark.select("item_id", F.col("text").alias("quote"))
     found = holders(lines.select("doc_id", "text"), q).select("item_id", "doc_id.doc_id", "doc_id.ordinal")
     return found.groupBy("item_id", "doc_id").agg(F.min("ordinal").alias("ordinal"), (F.min("ordinal") > 0).alias("relocated"))
 
@@ -77,9 +77,8 @@ def section_key_fingerprint(t) -> DataFrame:
 
 @query()
 def quote_ladder(t) -> DataFrame:
-    """Every passage's first sentence, changed in case and quotation marks, located by the ladder in the documents that can hold it."""
-    sentence = F.regexp_extract("text", "^[^.!?]+", 0)
-    changed = F.when(F.col("item_id") % 2 == 0, F.upper(sentence)).otherwise(F.replace(sentence, F.lit(", "), F.lit(",  ")))
+    """Every passage, changed in case or in its blanks, located by the ladder in the documents that can hold it."""
+    changed = F.when(F.col("item_id") % 2 == 0, F.upper("text")).otherwise(F.replace("text", F.lit(" "), F.lit("  ")))
     return locate_quotes(t.benchmark.select("item_id", changed.alias("quote")), t.documents.select("doc_id", "text"))
 
 
