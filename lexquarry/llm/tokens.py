@@ -10,7 +10,8 @@ of pieces) of the prefix it stands for, computed once however many pre-tokens sh
 the count of a pre-token. A piece's log-probability follows Zipf's law on its rank in the public vocabulary, as that
 file has no unigram scores. Unknown characters cost one piece for each UTF-8 byte.
 
-Defined results: null and empty texts count 0; texts of any length are counted whole; equal scores prefer fewer pieces.
+Defined results: null and empty texts count 0; texts and words of any length are counted whole; equal scores prefer fewer
+pieces; every row counts by itself, whatever its id.
 """
 
 from __future__ import annotations
@@ -62,57 +63,82 @@ def unigram_pieces(model_path: str) -> dict[str, float]:
 
 
 class UnigramTrie:
-    """Piece counts of best segmentations, forward scores shared by common prefixes."""
+    """Piece counts of best segmentations: a trie of pre-tokens whose nodes hold forward scores, computed once per prefix."""
 
     BYTE = -16.0
     MARK = "\u2581"  # how the public vocabulary writes the space before a word
 
+    DEEP = 256  # pre-tokens with more characters are scored without nodes, from the states that a piece can reach back to
+
     def __init__(self, pieces: dict[str, float]):
         self.longest = max(map(len, pieces), default=1)
-        self.trie: dict = {}  # pieces, reversed: a node's score is under ""
+        self.pieces: dict = {}  # reversed: a node's score is under ""
         for piece, score in pieces.items():
-            node = self.trie
+            node = self.pieces
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = score
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all pre-tokens."""
+        # a node: children by character, best score up to here, its number of pieces, and that number again where a pre-token ends
+        self.root, self.nodes = [{}, 0.0, 0, None], 1
+
+    def _forward(self, states: list, base: int, word: str, end: int) -> tuple[float, int]:
+        """Best score and number of pieces of word[:end], from the states [.., score, pieces, ..] of word[:base], word[:base + 1] and so on."""
+        node, at, top = self.pieces, end, None
+        while at > base and (node := node.get(word[at - 1])) is not None:
+            at -= 1
+            if "" in node:
+                state = states[at - base]
+                here = (state[1] + node[""], -state[2] - 1)
+                if top is None or here > top:
+                    top = here
+        width, state = len(word[end - 1].encode("utf-8", "surrogatepass")), states[end - 1 - base]
+        spelled = (state[1] + self.BYTE * width, -state[2] - width)
+        if top is None or spelled > top:
+            top = spelled
+        return top[0], -top[1]
+
+    def insert(self, pretoken: str) -> int:
+        """Put a pre-token into the trie; its number of pieces, which stays at its last node."""
+        word = self.MARK + pretoken
+        if len(word) > self.DEEP:
+            return self._unshared(word)
+        node, path = self.root, [self.root]
+        for end, c in enumerate(word, 1):
+            below = node[0].get(c)
+            if below is None:
+                below = node[0][c] = [{}, *self._forward(path, 0, word, end), None]
+                self.nodes += 1
+            node = below
+            path.append(node)
+        if node[3] is None:
+            node[3] = node[2]
+        return node[3]
+
+    def _unshared(self, word: str) -> int:
+        states, base = [(None, 0.0, 0)], 0
+        for end in range(1, len(word) + 1):
+            states.append((None, *self._forward(states, base, word, end)))
+            if len(states) > 4 * self.longest:
+                base += len(states) - self.longest
+                del states[: -self.longest]
+        return states[-1][2]
 
     def counts(self, pretokens: list[str]) -> dict[str, int]:
-        """Number of pieces of each distinct pre-token.
-
-        Sorted order walks the trie of pre-tokens depth first: the stack of forward states up to the common prefix with
-        the one before is the path of trie nodes already computed.
-        """
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        before, out = "", {}
-        for word in sorted(self.MARK + w for w in pretokens):
-            shared = len(os.path.commonprefix((before, word)))
-            del best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                node, at, top = self.trie, end, None
-                while at and (node := node.get(word[at - 1])) is not None:
-                    at -= 1
-                    if "" in node:
-                        score, n = best[at]
-                        here = (score + node[""], -n - 1)
-                        if top is None or here > top:
-                            top = here
-                width = len(word[end - 1].encode("utf-8", "surrogatepass"))
-                score, n = best[end - 1]
-                spelled = (score + self.BYTE * width, -n - width)
-                if top is None or spelled > top:
-                    top = spelled
-                best.append((top[0], -top[1]))
-            before, out[word[1:]] = word, best[-1][1]
-        return out
+        """Number of pieces of each pre-token."""
+        return {w: self.insert(w) for w in pretokens}
 
 
 _tries: dict[str, UnigramTrie] = {}
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = 400_000) -> DataFrame:
-    """One row per document: the id, its number of pre-tokens and of tokens.
+    """One row per document: the id, its number of pre-tokens and of tokens; rows that share an id, or have none, each count.
 
-    `remembered` bounds the pre-tokens whose counts a worker keeps between slices; it changes the work, not results.
+    `remembered` bounds the trie nodes and the counts that a worker keeps between slices; it changes the work, not results.
     """
     known: dict[str, int] = {}
 
@@ -120,8 +146,9 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         trie = _tries.get(model_path) or _tries.setdefault(model_path, UnigramTrie(unigram_pieces(model_path)))
         words = [t.split() if t else [] for t in texts]
         fresh = set().union(*words) - known.keys()
-        if len(known) + len(fresh) > remembered:
+        if len(known) + len(fresh) > remembered or trie.nodes > 2 * remembered:
             known.clear()
+            trie.clear()
             fresh = set().union(*words)
         known.update(trie.counts(list(fresh)))
         get = known.__getitem__

@@ -372,6 +372,34 @@ def test_trie_counts_equal_plain_dynamic_programming(documents):
     assert got == {w: brute_count(tokens.UnigramTrie.MARK + w, pieces) for w in words}
 
 
+def test_trie_shares_prefixes_and_keeps_long_words_out(monkeypatch):
+    pieces = tokens.unigram_pieces(PIECES)
+    trie = tokens.UnigramTrie(pieces)
+    assert trie.insert("house") and (grown := trie.nodes) and trie.insert("hous") and trie.nodes == grown
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeinrst漢é", k=n)) for n in (3, 40, 200, 300)]
+    want = [brute_count(trie.MARK + w, pieces) for w in words]
+    assert [trie.insert(w) for w in words] == want
+    monkeypatch.setattr(tokens.UnigramTrie, "DEEP", 2)
+    deep = tokens.UnigramTrie(pieces)
+    assert [deep.insert(w) for w in words] == want and deep.nodes == 1
+    began = time.time()
+    assert deep.insert("x" * 300_000) > 0 and time.time() - began < 30
+
+
+def test_equal_rows_are_dealt_to_many_groups(spark):
+    rows = spark.range(4000).selectExpr("1L AS id", "0 AS piece", "0L AS start", "700L AS length", "7L AS ids_crc32")
+    got = packing.pack_pieces(rows, group_pieces=400).selectExpr("shiftright(sequence_id, 32) AS g").groupBy("g").count().collect()
+    assert len(got) > 5 and max(r["count"] for r in got) < 800
+
+
+def test_packing_and_counting_an_unbroken_word(spark):
+    rows = spark.createDataFrame([(1, "ab" * 150_000), (1, "ab" * 150_000), (None, None)], "doc_id bigint, text string")
+    assert [r.n_tokens for r in tokens.count_tokens(rows, PIECES).where("n_pretokens > 0").collect()] == [brute for brute in [tokens.UnigramTrie(tokens.unigram_pieces(PIECES)).insert("ab" * 150_000)] * 2]
+    packed = packing.pack_documents(rows, BPE).collect()
+    assert len({r.length for r in packed if r.piece > 0}) == 1 and sum(r.doc_id is None for r in packed) == 1
+
+
 def test_token_counts_on_odd_rows(odd, none):
     rows = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokens.count_tokens(odd, PIECES).collect()}
     assert rows[1] == rows[2] == rows[3] == (0, 0) and rows[7][0] == 60_000
