@@ -119,7 +119,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int =
     spark = pieces.sparkSession
     pieces = persisted(spark, pieces)
     groups = 1 + pieces.count() // group_pieces
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    # the row's number, which stays as the rows are kept, parts rows that are equal in all else
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     schema = struct(pieces.schema.simpleString()[7:-1] + ", sequence_id bigint, offset bigint")
 
     def run(table: pa.Table) -> pa.Table:
