@@ -11,14 +11,17 @@ from lexquarry.session import ensure_checkpoint_dir
 def depths(edges: DataFrame) -> DataFrame:
     """edges (k, up), one a node -> k, root, depth. Every round each node jumps to where its ancestor had come, and adds the way.
 
-    A cycle never reaches a root; the rounds stop when no node moves, or after 64.
+    A way is as long as there are nodes at most: who still moves when the jumps are longer is in a cycle or leads to one,
+    and has no root and no depth.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     state = edges.select("k", F.col("up").alias("at"), F.lit(1).cast("bigint").alias("depth")).checkpoint()
-    for _ in range(64):
+    nodes, jump = state.count(), 1
+    while True:
         ahead = state.select(F.col("k").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        moved = state.join(ahead, "at", "left").select("k", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")).checkpoint()
-        state = moved.drop("moved")
-        if moved.where("moved").isEmpty():
+        state = state.join(ahead, "at", "left").select("k", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")).checkpoint()
+        jump *= 2
+        if jump > 2 * nodes or state.where("moved").isEmpty():
             break
-    return state.select("k", F.col("at").alias("root"), "depth")
+        state = state.drop("moved")
+    return state.select("k", F.when(~F.col("moved"), F.col("at")).alias("root"), F.when(~F.col("moved"), F.col("depth")).alias("depth"))

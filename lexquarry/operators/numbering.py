@@ -25,7 +25,7 @@ FORMS = {"decimal": str, "zero": lambda n: f"{n:02d}", "lower_roman": roman, "up
 
 
 def printed_numbers(items: list[tuple[int, int | None]], templates: list[tuple[str, str]]) -> list[str | None]:
-    """items: (level, start or None) in order; templates: ("%1.%2", form) a level. A level counts one up and resets all deeper ones."""
+    """items: (level, start or None) in order; templates: ("%1.%2", form) a level. A level counts one up and resets all deeper ones; a form that refers to a level not counted yet prints nothing."""
     counts: list[int | None] = [None] * len(templates)
     out: list[str | None] = []
     for level, start in items:
@@ -34,9 +34,10 @@ def printed_numbers(items: list[tuple[int, int | None]], templates: list[tuple[s
             continue
         counts[level] = start if start is not None else (counts[level] or 0) + 1
         counts[level + 1 :] = [None] * (len(templates) - level - 1)
-        text = templates[level][0]
+        text: str | None = templates[level][0]
         for k in range(level, -1, -1):
-            text = text.replace(f"%{k + 1}", FORMS[templates[k][1]](counts[k] if counts[k] is not None else 1))
+            if text is not None and f"%{k + 1}" in text:
+                text = None if counts[k] is None else text.replace(f"%{k + 1}", FORMS[templates[k][1]](counts[k]))
         out.append(text)
     return out
 

@@ -17,12 +17,13 @@ _TITLE = re.compile(r"^\s*(?:schedule|annex|appendix|exhibit|part)\s+[\dA-Z]{1,4
 
 
 def decode(data: bytes) -> tuple[str, str]:
-    """(text, encoding): by byte-order mark, by the share of NUL bytes, strict UTF-8, then cp1252."""
+    """(text, encoding): by byte-order mark, by more than a quarter of NUL bytes among the first 4096, strict UTF-8, then cp1252."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if data.startswith(mark):
             return data[len(mark) :].decode(name, "replace"), name
-    if data and 5 * data.count(0) >= 2 * len(data):
-        name = "utf-16-le" if data[1::2].count(0) >= data[::2].count(0) else "utf-16-be"
+    head = data[:4096]
+    if head.count(0) > len(head) // 4:
+        name = "utf-16-le" if head[1:2] == b"\x00" else "utf-16-be"
         return data.decode(name, "replace"), name
     try:
         return data.decode("utf-8"), "utf-8"

@@ -15,7 +15,7 @@ MOST_BYTES = 25 * 1024 * 1024
 def file_type(name: Column, content: Column) -> Column:
     """The suffix if name and bytes agree: %PDF- in the first kilobyte, PK\\x03\\x04 at the start, neither for text; else null."""
     low = F.lower(name)
-    pdf = F.locate("25504446", F.hex(F.substring(content, 1, 1024))) % 2 == 1
+    pdf = F.hex(F.substring(content, 1, 1024)).rlike("^(?:..)*?255044462D")  # at a whole byte
     packed = F.hex(F.substring(content, 1, 4)) == "504B0304"
     return F.when(low.endswith(".pdf") & pdf, ".pdf").when(low.endswith(".docx") & packed, ".docx").when(low.endswith(".txt") & ~pdf & ~packed, ".txt")
 

@@ -70,6 +70,7 @@ def test_numbering():
     assert [roman(n) for n in (4, 9, 14, 1994)] == ["iv", "ix", "xiv", "mcmxciv"] and [letters(n) for n in (1, 26, 27)] == ["a", "z", "aa"]
     levels = [("%1.", "decimal"), ("%1.%2", "decimal"), ("(%3)", "lower_letter")]
     assert printed_numbers([(0, None), (1, None), (2, None), (2, None), (1, None), (0, None), (1, 5), (9, None)], levels) == ["1.", "1.1", "(a)", "(b)", "1.2", "2.", "2.5", None]
+    assert printed_numbers([(1, None), (0, None), (1, None)], levels) == [None, "1.", "1.1"]
 
 
 def test_differences():

@@ -25,7 +25,7 @@ def test_decoding_ladder():
 
 
 def test_spark_reader(spark):
-    files = spark.createDataFrame([(1, bytearray(CONTRACT.encode())), (2, None), (3, bytearray(b"a\x00b"))], "doc_id bigint, content binary")
+    files = spark.createDataFrame([(1, bytearray(CONTRACT.encode())), (2, None), (3, bytearray(b"some text\x00b"))], "doc_id bigint, content binary")
     read = read_documents(files)
     assert {r.doc_id: r.refused for r in read.collect()} == {1: False, 2: False, 3: True}
     assert build_sections(read).groupBy("doc_id").count().collect()[0]["count"] == 4

@@ -6,7 +6,7 @@ from lexquarry.sources import files, sinks
 
 
 def test_corpus_folder(spark, tmp_path):
-    for name, data in {"a.txt": b"Title\n\nText.", "b.txt": b"Title\n\nText.", "c.pdf": b"%PDF-1.7 x", "d.pdf": b"no", "e.docx": b"PK\x03\x04x", "f.txt": b"", "g.md": b"#"}.items():
+    for name, data in {"a.txt": b"Title\n\nText.", "b.txt": b"Title\n\nText.", "c.pdf": b"\x12\x55\x04\x44\x62%PDF-1.7 x", "d.pdf": b"no", "e.docx": b"PK\x03\x04x", "f.txt": b"", "g.md": b"#"}.items():
         (tmp_path / name).write_bytes(data)
     found = files.corpus_files(spark, str(tmp_path))
     got = {r.path[-5:]: (r.kind, r.refused) for r in found.collect()}

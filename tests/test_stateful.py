@@ -56,6 +56,8 @@ def test_components_equal_union_find(spark):
 def test_lineage_and_ranks(spark):
     rows = depths(spark.createDataFrame([(k, k - 1) for k in range(1, 40)], "k bigint, up bigint")).collect()
     assert {r.k: r.depth for r in rows} == {k: k for k in range(1, 40)} and {r.root for r in rows} == {0}
+    looped = depths(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6)], "k bigint, up bigint")).collect()
+    assert sorted((r.k, r.root, r.depth) for r in looped) == [(1, None, None), (2, None, None), (3, None, None), (4, None, None), (5, 6, 1)]
     ranked = global_rank(spark.range(1000).withColumn("x", F.pmod(F.xxhash64("id"), F.lit(50))), ["x", "id"], "rn").orderBy("x", "id").collect()
     assert [r.rn for r in ranked] == list(range(1, 1001))
 
