@@ -15,6 +15,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexquarry.llm import html_extract, packing, quality_rules, secrets, tokens, toxicity, warc
@@ -72,6 +73,17 @@ def test_toxicity_on_long_words_and_ties(spark):
     assert len(found) == 4 and len({r.score for r in found if r.id == 1}) == 1
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """The query on the largest table: recall and precision on labelled documents that taught nothing."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    known = labels.where("toxic IN (0, 1)").select("doc_id", "toxic")
+    rows = toxicity.digest_rows(docs, labels).where("held_out").join(known, "doc_id").select("predicted", "toxic", "score").collect()
+    hits = sum(r.predicted == r.toxic == 1 for r in rows)
+    assert hits >= 0.9 * sum(r.toxic for r in rows) and hits >= 0.85 * sum(r.predicted for r in rows)
+    assert toxicity.auc([r.score for r in rows], [r.toxic for r in rows]) > 0.95
+
+
 def test_kernel_tolerates_gaps():
     near = lambda a, b: _kernel(a, b) / (_kernel(a, a) * _kernel(b, b)) ** 0.5
     assert near("moron", "mo-ron") == pytest.approx(1.0) and near("idiot", "1diot") == pytest.approx(1.0)
@@ -129,6 +141,18 @@ def test_rules_on_odd_rows(spark, odd, none):
     assert quality_rules.digest_rows(none, labels.where("false")).count() == 0
 
 
+def test_learned_rules_on_held_out_labels(spark):
+    """A list learned from one half of the labels rejects the bad texts of the other half and keeps the good ones."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    half = "pmod(xxhash64(doc_id, 'half'), 2) = 0"
+    judged = quality_rules.judge_quality(docs, labels.where(half)).select("id", "base_failed", "kept")
+    rows = judged.join(labels.where(f"NOT {half} AND quality IN (0, 1)"), F.col("id") == F.col("doc_id")).where("NOT base_failed").select("quality", "kept").collect()
+    for quality in (0, 1):
+        mine = [r.kept == bool(quality) for r in rows if r.quality == quality]
+        assert mine and sum(mine) >= 0.9 * len(mine), quality
+
+
 # ---------------------------------------------------------------- HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
@@ -331,6 +355,34 @@ def test_bins_are_gapless_and_near_the_least(lengths):
         assert len(bins) >= -(-sum(lengths) // 2048)
 
 
+def least_bins(lengths, capacity):
+    """The least number of bins, by trying every place for each item, the longest first."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in sorted(set(rooms)):
+            if room >= lengths[k]:
+                rest = list(rooms)
+                rest.remove(room)
+                put(k + 1, [*rest, room - lengths[k]])
+        put(k + 1, [*rooms, capacity - lengths[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_bins_against_all_packings(lengths):
+    assert len({b for b, _ in packing.pack(lengths, 20)}) <= least_bins(lengths, 20) + 1
+
+
 def test_ids_equal_the_tokenizer(documents):
     exact, own = Tokenizer.from_file(BPE), tokens.byte_bpe(BPE)
     texts = [r.text for r in documents.limit(60).collect()] + ["<|endoftext|> a", "漢字 \U0001f600 x", " \x1c\x85 ", "", "it's  I'LL\n\n x", "a b c d"]
