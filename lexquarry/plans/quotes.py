@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +92,19 @@ def repeated_sections(t) -> DataFrame:
     """Sections that several documents hold word for word."""
     s = sections(t.documents).select("doc_id", F.sha2("text", 256).alias("key"))
     return s.groupBy("key").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first_doc")).where("holders > 1")
+
+
+#: Ways of reading a document's text, in expressions that both engines read.
+ADAPTERS = (("as it is", "text"), ("one line", "replace(text, chr(10), ' ')"), ("no commas", "replace(text, ',', '')"))
+_SQL_ADAPTED = " UNION ALL ".join(f"SELECT '{name}' AS adapter, item_id, doc_id FROM q JOIN documents d ON contains({x}, quote)" for name, x in ADAPTERS)
+
+
+@query(f"""
+WITH q AS (SELECT item_id, text AS quote FROM benchmark WHERE text <> ''), a AS ({_SQL_ADAPTED})
+SELECT adapter, count(DISTINCT item_id)::BIGINT AS quotes, count(*)::BIGINT AS places FROM a GROUP BY adapter
+""")
+def parser_comparison(t) -> DataFrame:
+    """How many quotes each reading of the documents retains word for word, and in how many documents."""
+    q = t.benchmark.select("item_id", F.col("text").alias("quote"))
+    found = [holders(t.documents.selectExpr("doc_id", f"{x} AS text"), q).select(F.lit(name).alias("adapter"), "item_id") for name, x in ADAPTERS]
+    return reduce(DataFrame.unionByName, found).groupBy("adapter").agg(F.count_distinct("item_id").alias("quotes"), F.count("*").alias("places"))
