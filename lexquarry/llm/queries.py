@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexquarry.session import table
 
-from . import decontaminate, html_extract, merkle, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity, warc
+from . import decontaminate, html_extract, licenses, merkle, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest_rows(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.build_manifest(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
         op8_decontamination,
         op9_substring_dedup,
         op10_near_dedup,
+        op11_license_scan,
         op12_merkle_manifest,
     )
 }
