@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexquarry.session import table
 
-from . import decontaminate, html_extract, licenses, merkle, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity, warc
+from . import collocations, decontaminate, html_extract, licenses, merkle, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.build_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +77,12 @@ QUERIES = {
         op10_near_dedup,
         op11_license_scan,
         op12_merkle_manifest,
+        op13_collocations,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.ORACLE_SQL,
+    "op10_near_dedup": near_dedup.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
+}
