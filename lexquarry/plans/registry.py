@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, evaluation, families, layout, ledger, links, quotes, record, retrieval, review, texts, timeline, trust, values  # noqa: F401
+from . import answers, driver, evaluation, families, layout, ledger, links, periods, quotes, record, retrieval, review, texts, timeline, trust, typed, values  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_topk"
