@@ -1,15 +1,16 @@
 """Phrase collocations from a weighted de Bruijn graph of words.
 
-1. A bound first: pairs of neighbouring words are counted by a 64-bit hash of the two. A hash that is seen less often than
-   the least count is no pair of any candidate, so pieces are parted there; a collision only parts less. The hashes that
-   are left are sent as a bit field of fixed size, in which a collision again only parts less.
-2. Edges: a run of words between such partings gives its five-word grams, each an edge from the node of its first four
-   words to that of its last four, and one ending: its last words, four at most. Equal ones are counted before the shuffle.
+1. Bounds first: pairs of neighbouring words are counted by a hash of the two, then, where both pairs are left, triples. A
+   hash seen less often than the least count is in no candidate; a collision only leaves more. The hashes left are sent as
+   bit fields of fixed size, in which a collision again only leaves more.
+2. Edges: every word starts one gram, the longest of up to five words of its piece in which all pairs and triples are left.
+   Five words are an edge from the node of the first four to that of the last four; fewer are an ending, the correction for
+   a start near the end of its piece or of what is left of it. Equal grams are counted before the shuffle.
 3. Compaction: an edge is sent to the buckets of its two nodes, a node's bucket being that of its longest word. A node thus
    meets all its edges, and paths through nodes with one edge in and one out become one row: words and weights.
 4. Flow: f of a node is the sum of its outgoing edges plus the endings that are that node. f of a shorter phrase is the
-   sum over the phrases that prolong it by one word plus the endings that end with it, down to single words, whose sum over
-   a language is n. Only phrases that pieces were never parted in are asked for, so every count is exact.
+   sum over the phrases that prolong it by one word plus the endings that are that phrase, down to single words, whose sum
+   over a language is n. All pairs and triples of a candidate and of its parts are left, so their counts are exact.
 5. Candidates are cut in all places, the parts' counts joined by phrase; a candidate as frequent as one that holds it goes.
    It is enough to look at phrases one word longer: counts never grow with length.
 
@@ -34,17 +35,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import persisted, pruned, struct
 
 LONGEST = 5
+#: Lengths of the runs that are bounded before grams are counted.
+RUNS = (2, 3)
 LEAST = 100
 TOP = 2000
-#: Bits of the field of frequent pairs (8 MB).
-FIELD_BITS = 26
+#: Bits of a counted hash, and of the index into a field of frequent ones (8 MB).
+HASH_BITS, FIELD_BITS = 40, 26
 #: Edges of a bucket, on average; characters of a batch; distinct words and counted grams a task holds.
 BUCKET_EDGES, BATCH, HELD_WORDS, HELD_GRAMS = 20_000, 4_000_000, 400_000, 2_000_000
 # Where pieces end; the mark stands for it among words and is in no UTF-8 text.
 _ENDS, _MARK = b".,;:!?\n\x0b\x0c\r", 0xFF
 _FOLD = bytes(_MARK if c in _ENDS else c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
 _SPLIT = bytes([32, _MARK, 32])
-_MASK = (1 << 64) - 1
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 
 
 def marked_words(text: str) -> list[bytes]:
@@ -74,18 +77,30 @@ class Vocabulary:
             self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), dtype=np.uint64, count=len(fresh))])
         return np.array(out, dtype=np.int64)
 
-    def pairs(self, words: np.ndarray, lang: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of neighbouring words, and whether both are words of one piece."""
+    def runs(self, words: np.ndarray, lang: str) -> Iterator[np.ndarray]:
+        """Hashes of the pair and of the triple that each word starts."""
         h = self.hashes[words]
-        mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(lang)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        return mixed.view(np.int64), (words[:-1] > 0) & (words[1:] > 0)
+        pair = _mixed((h[:-1] * _FACTORS[0] + np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))) ^ h[1:])
+        yield pair
+        yield _mixed(pair[:-1] * _FACTORS[0] ^ h[2:])
 
+    def left(self, words: np.ndarray, lang: str, fields: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(hashes, which are left) of pairs, then triples: by their field, or of the last ones, which have none yet, those
+        of which all shorter runs are left."""
+        out, possible = [], (words[:-1] > 0) & (words[1:] > 0)
+        for run, field in zip(self.runs(words, lang), [*fields, None]):
+            if field is not None:
+                bit = run >> np.uint64(64 - FIELD_BITS)
+                possible = possible & ((field[bit >> np.uint64(6)].view(np.uint64) >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+            out.append((run, possible))
+            possible = possible[:-1] & possible[1:]
+        return out
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode())
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x *= _FACTORS[1]
+    return x ^ (x >> np.uint64(32))
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
@@ -106,23 +121,25 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[
     yield from held.items()
 
 
-def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
-    """The bit field of pair hashes seen at least `least` times, as bytes; its size is fixed."""
-    schema = struct("pair bigint, n bigint")
+def frequent_runs(texts: DataFrame, least: int, fields: list[np.ndarray]) -> np.ndarray:
+    """The bit field of hashes seen at least `least` times, of runs one word longer than those of the last field (of pairs
+    without one)."""
+    schema = struct("run bigint, n bigint")
     arrow = to_arrow_schema(schema)
+    sent = texts.sparkSession.sparkContext.broadcast(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies: dict[str, Vocabulary] = {}
         for lang, texts in _by_language(batches):
             vocabulary = vocabularies.setdefault(lang, Vocabulary())
-            mixed, inside = vocabulary.pairs(vocabulary.read(texts), _seed(lang))
-            found, n = np.unique(mixed[inside], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], schema=arrow)
+            hashes, asked = vocabulary.left(vocabulary.read(texts), lang, sent.value)[-1]
+            found, n = np.unique(hashes[asked] >> np.uint64(64 - HASH_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], schema=arrow)
             if sum(len(v.ids) for v in vocabularies.values()) > HELD_WORDS:
                 vocabularies.clear()
 
-    often = texts.mapInArrow(run, schema).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bits = often.select(F.shiftrightunsigned("pair", 64 - FIELD_BITS).alias("bit"))
+    often = texts.mapInArrow(run, schema).groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    bits = often.select(F.shiftright("run", HASH_BITS - FIELD_BITS).alias("bit"))
     lines = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("line")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits"))
     field = np.zeros(1 << (FIELD_BITS - 6), dtype=np.int64)
     for r in lines.toLocalIterator():
@@ -130,11 +147,11 @@ def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
     return field
 
 
-def count_runs(texts: DataFrame, field: np.ndarray) -> DataFrame:
-    """lang, gram (words joined by a space), size, n: five-word grams, and the last words (four at most) of every run."""
+def count_runs(texts: DataFrame, fields: list[np.ndarray]) -> DataFrame:
+    """lang, gram (words joined by a space), size, n: the gram that each word starts, given the fields of pairs and triples."""
     schema = struct("lang string, gram string, size int, n bigint")
     arrow = to_arrow_schema(schema)
-    sent = texts.sparkSession.sparkContext.broadcast(field)
+    sent = texts.sparkSession.sparkContext.broadcast(fields)
 
     def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct rows of five numbers below 2^31 with their counts; the last column is a count."""
@@ -154,32 +171,23 @@ def count_runs(texts: DataFrame, field: np.ndarray) -> DataFrame:
             self.single = np.zeros(0, dtype=np.int64)
 
         def add(self, texts: list[str], lang: str) -> None:
-            words = self.vocabulary.read(texts)
-            mixed, inside = self.vocabulary.pairs(words, _seed(lang))
-            bit = mixed.view(np.uint64) >> np.uint64(64 - FIELD_BITS)
-            joined = inside & ((sent.value[bit >> np.uint64(6)].view(np.uint64) >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
-            # words joined to the next one, in how many steps on end, up to four
-            ahead = np.append(joined, False)
-            last = (words > 0) & ~ahead
-            n = len(self.vocabulary.ids)
+            words, n = self.vocabulary.read(texts), len(self.vocabulary.ids)
+            pair, triple = (np.zeros(len(words) + LONGEST, dtype=bool) for _ in range(2))
+            for kept, (_, left) in zip((pair, triple), self.vocabulary.left(words, lang, sent.value)):
+                kept[: len(left)] = left
+            at = np.arange(len(words))
+            four = triple[at] & triple[at + 1]
+            size = (words > 0).astype(np.int64) + pair[at] + triple[at] + four + (four & triple[at + 2])
             if n > len(self.single):
                 self.single = np.concatenate([self.single, np.zeros(n - len(self.single), dtype=np.int64)])
-            behind = np.concatenate([[False], joined])
-            np.add.at(self.single, words[last & ~behind], 1)
-            four = np.flatnonzero(ahead[:-4] & ahead[1:-3] & ahead[2:-2] & ahead[3:-1]) if len(words) > 4 else np.zeros(0, dtype=np.int64)
-            grams = np.stack([words[four + k] for k in range(LONGEST)] + [np.ones(len(four), dtype=np.int64)], axis=1)
-            stop = np.flatnonzero(last & behind)
-            ending, live = np.zeros((len(stop), 6), dtype=np.int64), np.ones(len(stop), dtype=bool)
-            ending[:, 5] = 1
-            # filled from the last word backwards; zeros stay at the end of shorter ones
-            length = np.ones(len(stop), dtype=np.int64)
-            for k in range(1, LONGEST - 1):
-                live &= behind[np.maximum(stop - k + 1, 0)] & (stop >= k)
-                length += live
-            for k in range(LONGEST - 1):
-                here = k < length
-                ending[here, k] = words[stop[here] - length[here] + 1 + k]
-            self.parts.append(counted_rows(np.concatenate([grams, ending])))
+            self.single[:n] += np.bincount(words[size == 1], minlength=n)
+            starts = np.flatnonzero(size > 1)
+            grams = np.zeros((len(starts), LONGEST + 1), dtype=np.int64)
+            grams[:, LONGEST] = 1
+            for k in range(LONGEST):
+                here = size[starts] > k
+                grams[here, k] = words[starts[here] + k]
+            self.parts.append(counted_rows(grams))
             self.rows += len(self.parts[-1])
             if self.rows > HELD_GRAMS:
                 self.parts = [counted_rows(np.concatenate(self.parts))]
@@ -275,7 +283,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     """(lang, phrase, size, f) of every phrase of one to five words seen at least `least` times, and (lang, n)."""
     spark = docs.sparkSession
     texts = pruned(docs, lang=lang_col, text=text_col).where("length(text) > 0").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    runs = persisted(spark, count_runs(texts, frequent_pairs(texts, least)))
+    fields: list[np.ndarray] = []
+    for _ in RUNS:
+        fields.append(frequent_runs(texts, least, fields))
+    runs = persisted(spark, count_runs(texts, fields))
     edges, endings = runs.where(F.col("size") == LONGEST), runs.where(F.col("size") < LONGEST)
     paths = persisted(spark, compact_paths(edges, max(32, edges.count() // BUCKET_EDGES)))
     every = F.sequence(F.lit(0), F.size("weights") - 1)
@@ -285,7 +296,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     ending = endings.select("lang", F.split("gram", " ", -1).alias("w"), F.col("n").alias("f"))
     for size in range(LONGEST - 1, 0, -1):
         prolonged = flow.select("lang", F.slice("w", 1, size).alias("w"), "f")
-        ended = ending.where(F.size("w") >= size).select("lang", F.slice("w", -size, size).alias("w"), "f")
+        ended = ending.where(F.size("w") == size).select("lang", "w", "f")
         flow = persisted(spark, prolonged.unionByName(ended).groupBy("lang", "w").agg(F.sum("f").alias("f")))
         found.append(flow.where(F.col("f") >= least).select("lang", F.concat_ws(" ", "w").alias("phrase"), F.lit(size).alias("size"), "f"))
     out = found[0]
