@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from .links import LISTED, MENTION, OF_STATUTE
+from .links import LISTED, MENTION, STATUTES
 
 # Words that rank parts, and that replace text.
 PARTS = r"(?:this\s+)?(?:Agreement|Schedule\s+\w+|Schedules?|Amendment(?:\s+No\.\s*\d+)?|Order\s+Forms?|Exhibit\s+\w+|Annex\s+\w+|Terms)"
@@ -19,7 +19,8 @@ MOST = 24
 
 def clauses(text: str) -> tuple[str, ...]:
     """Distinct clause numbers that a sentence names, those of statutes left out."""
-    own = [m[0] for m in re.finditer(MENTION, text) if not re.search(OF_STATUTE, m[0])]
+    statute = re.compile(rf"\s+of\s+(?:the\s+)?(?:[A-Z]\S*\s+){{0,6}}(?:{'|'.join(STATUTES)})\b")
+    own = [m[0] for m in re.finditer(MENTION, text) if not statute.match(text, m.end())]
     return tuple(dict.fromkeys(n for m in own for n in re.findall(LISTED, m)))
 
 

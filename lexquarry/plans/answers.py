@@ -5,7 +5,9 @@ The texts are put together from order lines by expressions that both engines rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.session import ensure_checkpoint_dir
@@ -170,15 +172,33 @@ MARKED = (
     "WHEN 2 THEN 'Set at [ * ]% a year; the period is not disclosed. Next, [REDACTED] counts.' WHEN 3 THEN 'Nothing is omitted. The fee is [redacted]! And so on.' "
     "WHEN 4 THEN 'Between [***] and [REDACTED] it is. Done' ELSE 'It is 5%.' END"
 )
-REDACTION = r"(?i:\[\s*(?:\*+|redacted)\s*\])"
-WITHHELD = r"(?i:\b(?:redact\w*|omitted|withheld|not\s+disclosed|undisclosed|not\s+stated|cannot\s+be\s+determined)\b)"
+#: Anything in square brackets; a mark is one that holds only asterisks, or the word.
+BRACKETED, MARKS = r"\[[^\[\]]*\]", ("redacted",)
+#: How a sentence says that a figure is held back; the first counts with any ending.
+HELD_BACK = ("redact", "omitted ", "withheld ", "not disclosed ", "undisclosed ", "not stated ", "cannot be determined ")
+
+
+def _is_mark(x):
+    inside = F.lower(F.btrim(x, F.lit("[] ")))
+    return (F.translate(inside, "*", "") == "") & (inside != "") | inside.isin(*MARKS)
+
+
+def _held_back(sentence):
+    """Whether the sentence, its marks aside, says that something is held back."""
+    said = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.regexp_replace(sentence, BRACKETED, " ")), F.lit("[a-z]+"), F.lit(0)), " "), F.lit(" "))
+    return reduce(Column.__or__, [said.contains(" " + x) for x in HELD_BACK])
+
+
+_SQL_MARK = "lambda x: (replace(trim(x, '[] '), '*', '') = '' AND trim(x, '[] ') <> '' OR lower(trim(x, '[] ')) IN (" + ", ".join(f"'{m}'" for m in MARKS) + "))"
+_SQL_SAID = f"(' ' || array_to_string(regexp_extract_all(lower(regexp_replace(s, '{BRACKETED}', ' ', 'g')), '[a-z]+'), ' ') || ' ')"
+_SQL_HELD_BACK = " OR ".join(f"contains({_SQL_SAID}, ' {x}')" for x in HELD_BACK)
 STATEMENT_END = r"([.!?])(?:\s+|$)"
 
 
 @query(f"""
 WITH a AS (SELECT k, n, {MARKED} AS text FROM ({LINES}) l),
 s AS (SELECT k, n, unnest(string_split(regexp_replace(text, '{STATEMENT_END}', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '{STATEMENT_END}', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM a),
-m AS (SELECT k, n, i, s, regexp_extract_all(s, '{REDACTION}') AS marks FROM s WHERE NOT regexp_matches(regexp_replace(s, '{REDACTION}', ' ', 'g'), '{WITHHELD}')),
+m AS (SELECT k, n, i, s, list_filter(regexp_extract_all(s, '{BRACKETED}'), {_SQL_MARK}) AS marks FROM s WHERE NOT ({_SQL_HELD_BACK})),
 g AS (SELECT k, n, i, list_filter(marks, lambda x, j: len(list_filter(marks, lambda y, l: l <> j AND regexp_matches(y, '(?i)redacted'))) = 0) AS given FROM m)
 SELECT k, n, min_by(given[1], i) AS mark FROM g WHERE len(given) > 0 GROUP BY k, n
 """)
@@ -186,7 +206,7 @@ def redaction_as_value(t) -> DataFrame:
     """The first redaction mark that an answer gives as if it were the figure: its sentence does not say it is withheld."""
     a = _lines(t.lineitem).selectExpr("k", "n", f"{MARKED} AS text")
     s = a.select("k", "n", F.posexplode(F.split(F.regexp_replace("text", STATEMENT_END, "$1" + MARK), MARK)).alias("i", "s"))
-    s = s.where(~F.regexp_replace("s", REDACTION, " ").rlike(WITHHELD)).withColumn("marks", F.regexp_extract_all("s", F.lit(REDACTION), F.lit(0)))
+    s = s.where(~_held_back(F.col("s"))).withColumn("marks", F.filter(F.regexp_extract_all("s", F.lit(BRACKETED), F.lit(0)), _is_mark))
     # another mark of the sentence may say that it is redacted
     given = F.expr("filter(marks, (x, j) -> size(filter(marks, (y, l) -> l <> j AND lower(y) LIKE '%redacted%')) = 0)")
     s = s.withColumn("given", given).where(F.size("given") > 0)
@@ -231,22 +251,55 @@ ASKED = (
     "WHEN 4 THEN 'In 2024, does the cap apply?' WHEN 5 THEN 'When, on March 5, 2026, did it end?' WHEN 6 THEN 'What holds after 2000 hours?' ELSE 'What is owed at 2019 and in May 2018?' END"
 )
 _MONTH = f"(?:{'|'.join(MONTHS)})"
-_TIME = rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|(?:\d{{1,2}}\s+)?{_MONTH}\s+(?:\d{{1,2}},\s+)?\d{{4}}|(?:19|20)\d{{2}})"
-FRAME = rf"(?i:(?:\b([\w'-]+)\s+)?\b(?:in|during|throughout|on|at|as\s+of|as\s+at)\s+(?:(?:the\s+)?(?:calendar\s+|financial\s+|fiscal\s+)?year\s+)?)({_TIME})\b"
-CONFIRMS = rf"(?i:^\W*(?:(?:in|during|on|at|as\s+of|as\s+at)\b[^,?]{{1,60}},\s*)?(?:{'|'.join(CONFIRMING)})\b)"
+#: Some words and a time after them: a day, a month or a year.
+TIMED = rf"((?:[\w'-]+\s+){{0,9}}?)(\d{{4}}-\d{{2}}-\d{{2}}|(?:\d{{1,2}}\s+)?{_MONTH}\s+(?:\d{{1,2}},\s+)?\d{{4}}|(?:19|20)\d{{2}})\b"
+#: Words that set a question in a time, and those that may stand between them and it.
+FRAMING, BETWEEN = ("in", "during", "throughout", "on", "at"), ("the", "calendar", "financial", "fiscal", "year")
+LEADING = 62  # characters within which a clause before the question ends at its comma
+
+
+def _frames(lead):
+    """Whether the words before a time set the question in it: the last is a framing word, or "as of" and "as at", and the
+    word before is no property of what is asked about."""
+    w = F.filter(F.split(F.lower(F.trim(lead)), r"\s+"), lambda x: ~x.isin(*BETWEEN))
+    back = lambda k: F.coalesce(F.try_element_at(w, F.lit(-k)), F.lit(""))
+    of = (back(2) == "as") & back(1).isin("of", "at")
+    return (of | back(1).isin(*FRAMING)) & ~F.when(of, back(3)).otherwise(back(2)).isin(*PROPERTY)
+
+
+def _confirms(text):
+    """Whether a question asks to confirm: it, or what follows a leading clause of time, begins with an auxiliary verb."""
+    first = lambda x: F.lower(F.regexp_extract(x, "[A-Za-z]+", 0))
+    comma = F.instr(text, ",")
+    led = first(text).isin(*FRAMING, "as") & comma.between(1, LEADING) & first(F.expr("substring(text, instr(text, ',') + 1)")).isin(*CONFIRMING)
+    return first(text).isin(*CONFIRMING) | led
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_SQL_W = rf"list_filter(string_split_regex(lower(trim(x[1])), '\s+'), lambda y: y NOT IN {_in(BETWEEN)})"
+_SQL_OF = f"(coalesce({_SQL_W}[-2], '') = 'as' AND coalesce({_SQL_W}[-1], '') IN ('of', 'at'))"
+_SQL_FRAMES = f"(({_SQL_OF} OR coalesce({_SQL_W}[-1], '') IN {_in(FRAMING)}) AND CASE WHEN {_SQL_OF} THEN coalesce({_SQL_W}[-3], '') ELSE coalesce({_SQL_W}[-2], '') END NOT IN {_in(PROPERTY)})"
+_SQL_FIRST = "lower(regexp_extract({x}, '[A-Za-z]+'))"
+_SQL_CONFIRMS = (
+    f"({_SQL_FIRST.format(x='text')} IN {_in(CONFIRMING)} OR {_SQL_FIRST.format(x='text')} IN {_in((*FRAMING, 'as'))} AND instr(text, ',') BETWEEN 1 AND {LEADING} "
+    f"AND {_SQL_FIRST.format(x="substr(text, instr(text, ',') + 1)")} IN {_in(CONFIRMING)})"
+)
 
 
 @query(f"""
 WITH a AS (SELECT k, n, {ASKED} AS text FROM ({LINES}) l)
-SELECT k, n, array_to_string(CASE WHEN regexp_matches(text, '{CONFIRMS}') THEN []::VARCHAR[] ELSE
-  list_transform(list_filter(list_zip(regexp_extract_all(text, '{_sql(FRAME)}', 1), regexp_extract_all(text, '{_sql(FRAME)}', 2)), lambda x: lower(coalesce(x[1], '')) NOT IN ({", ".join(f"'{w}'" for w in PROPERTY)})), lambda x: x[2]) END, '|') AS times FROM a
+SELECT k, n, array_to_string(CASE WHEN {_SQL_CONFIRMS} THEN []::VARCHAR[] ELSE
+  list_transform(list_filter(list_zip(regexp_extract_all(text, '{_sql(TIMED)}', 1), regexp_extract_all(text, '{_sql(TIMED)}', 2)), lambda x: {_SQL_FRAMES}), lambda x: x[2]) END, '|') AS times FROM a
 """)
 def frame_times(t) -> DataFrame:
     """The times a question asks at, as written; none of a question that asks to confirm, none given as a property."""
     a = _lines(t.lineitem).selectExpr("k", "n", f"{ASKED} AS text")
-    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(FRAME), F.lit(1)).alias("before"), F.regexp_extract_all("text", F.lit(FRAME), F.lit(2)).alias("time"))
-    own = F.transform(F.filter(found, lambda x: ~F.lower(F.coalesce(x["before"], F.lit(""))).isin(*PROPERTY)), lambda x: x["time"])
-    return a.select("k", "n", F.when(F.col("text").rlike(CONFIRMS), "").otherwise(F.array_join(own, "|")).alias("times"))
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(TIMED), F.lit(1)).alias("before"), F.regexp_extract_all("text", F.lit(TIMED), F.lit(2)).alias("time"))
+    own = F.transform(F.filter(found, lambda x: _frames(x["before"])), lambda x: x["time"])
+    return a.select("k", "n", F.when(_confirms(F.col("text")), "").otherwise(F.array_join(own, "|")).alias("times"))
 
 
 #: Sources whose status rests on a comparison by code, and the wordings that say so or name what went unseen.
