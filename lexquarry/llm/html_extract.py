@@ -6,12 +6,13 @@ the best score is the article; its siblings that score well, or that are prose w
 that are never article text by kind or by name (menus, footers, comments, adverts ...) are dropped beforehand.
 
 Names are read one by one. The last word of a name says what it is (`entry-footer` is a footer, `post-content` is
-content), `no-sidebar` and the like say nothing, and words of comments and adverts count anywhere in a name and drop the
-element. A form, and an element with a content name besides a doubtful one, is dropped unless it holds half of the page's
-prose; one with doubtful names alone unless it holds nine tenths.
+content), `no-sidebar` and the like say nothing, and words of comments and adverts count anywhere in a name. An element
+with such a word is dropped unless it holds nine tenths of the page's prose, seven tenths if a name says content as well.
+Then a form, and an element with a content name besides a doubtful one, is dropped unless it holds half of what is left;
+one with doubtful names alone unless it holds nine tenths.
 
 Defined results: null and empty pages give an empty text; unclosed, overlapping and stray tags are repaired as they
-come; pages of any length are read whole; a page without block markup gives its whole visible text.
+come; a tag or quotation mark that never closes is text; pages of any length are read whole, in time linear in it; a page without block markup gives its whole visible text.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ from pyspark.sql import DataFrame
 
 from .common import map_columns, pruned
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|template|noscript|iframe|svg|math|object|canvas|audio|video|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.IGNORECASE | re.DOTALL,
-)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# Elements whose content is no text of the page.
+RAW = frozenset("script style template noscript iframe svg math object canvas audio video textarea select title".split())
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
+_CLOSING = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in RAW}
+_ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 
 # How HTML elements behave.
@@ -72,9 +72,9 @@ CONTENT = frozenset("article articles body content entry main post story text he
 #: First words after which a name tells of something else.
 ABOUT = frozenset("no not has have with without hide show".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-KEPT, MIXED, DOUBTFUL, GONE = range(4)
-#: Share of a page's prose from which such an element is the article or holds it.
-MOST = {MIXED: 0.5, DOUBTFUL: 0.9}
+KEPT, MIXED, DOUBTFUL, ADDED_MIXED, ADDED, GONE = range(6)
+#: Share of a page's prose from which such an element is the article or holds it; what readers and advertisers add is judged first.
+MOST = ({ADDED_MIXED: 0.7, ADDED: 0.9}, {MIXED: 0.5, DOUBTFUL: 0.9})
 
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -97,13 +97,16 @@ def _named(names: str) -> tuple[int, bool]:
             continue
         if not FOREIGN.isdisjoint(words):
             foreign = True
+            content |= not CONTENT.isdisjoint(words)
         elif words[-1] in CONTENT:
             content = True
         elif not AROUND.isdisjoint(words):
             around = True
         elif not CONTENT.isdisjoint(words):
             content = True
-    return GONE if foreign else KEPT if not around else MIXED if content else DOUBTFUL, content
+    if foreign:
+        return ADDED_MIXED if content else ADDED, content
+    return KEPT if not around else MIXED if content else DOUBTFUL, content
 
 
 def _dropped(name: str, attrs: str, within: bool) -> tuple[int, float]:
@@ -127,65 +130,127 @@ def _dropped(name: str, attrs: str, within: bool) -> tuple[int, float]:
     return drop, bonus
 
 
+def _tags(html: str):
+    """(start, stop, name or None, whether it ends, attributes) of every tag, comment and the like, from left to right.
+
+    A tag ends at the first `>` outside quotation marks. Where marks do not close before the page does, they are ordinary
+    characters from there on, so that each character is passed over a bounded number of times; a `<` with no `>` behind it
+    is text.
+    """
+    at, last, size, quotes = html.find("<"), html.rfind(">"), len(html), True
+    while at >= 0:
+        stop = at + 1
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            stop = size if end < 0 else end + 3
+            yield at, stop, None, False, ""
+        elif html[at + 1 : at + 9].upper() == "![CDATA[":
+            end = html.find("]]>", at + 9)
+            stop = size if end < 0 else end + 3
+            yield at, stop, None, False, html[at + 9 : size if end < 0 else end]
+        elif html[at + 1 : at + 2] in ("!", "?"):
+            end = html.find(">", at)
+            stop = size if end < 0 else end + 1
+            yield at, stop, None, False, ""
+        elif m := _NAME.match(html, at):
+            if at > last:
+                return
+            found = _REST.match(html, m.end()) if quotes else None
+            quotes = found is not None
+            end = found.end() if found else html.find(">", m.end()) + 1
+            if not end:
+                return
+            name, stop = m[2].lower(), end
+            if name in RAW and not m[1]:
+                closing = _CLOSING[name].search(html, end)
+                stop = closing.end() if closing else size
+                yield at, stop, None, False, ""
+            else:
+                yield at, stop, name, bool(m[1]), html[m.end() : end - 1]
+        at = html.find("<", stop)
+
+
+class _Open:
+    """The open elements of a page: how many there are of each name, in all and since the last one that is a scope."""
+
+    def __init__(self, root: _Node):
+        self.here, self.root = root, root
+        self.all: dict[str, int] = {}
+        self.levels: list[dict[str, int]] = [{}]
+
+    def push(self, node: _Node) -> None:
+        for counts in (self.all, self.levels[-1]):
+            counts[node.name] = counts.get(node.name, 0) + 1
+        self.here = node
+        if node.name in SCOPE:
+            self.levels.append({})
+
+    def pop(self) -> None:
+        if self.here.name in SCOPE:
+            self.levels.pop()
+        for counts in (self.all, self.levels[-1]):
+            counts[self.here.name] -= 1
+        self.here = self.here.parent
+
+    def close(self, names: tuple[str, ...]) -> None:
+        """Up to and with the nearest open element of one of the names; the caller knows that there is one."""
+        while self.here.name not in names:
+            self.pop()
+        self.pop()
+
+    def reachable(self, names: tuple[str, ...]) -> bool:
+        return any(self.levels[-1].get(n) for n in names)
+
+    @property
+    def articles(self) -> int:
+        return self.all.get("article", 0) + self.all.get("main", 0)
+
+
 def _tree(html: str) -> _Node:
     root = _Node("html", None, KEPT)
-    here, linked, articles, at = root, 0, 0, 0
-    for m in _TAG.finditer(html):
-        if m.start() > at:
-            here.kids.append((html[at : m.start()], linked > 0))
-        at = m.end()
-        name = m["name"]
+    opened, linked, at = _Open(root), 0, 0
+    for start, stop, name, ends, attrs in _tags(html):
+        if start > at:
+            opened.here.kids.append((html[at:start], linked > 0))
+        at = stop
         if name is None:
-            if m[0][:9].upper() == "<![CDATA[":
-                here.kids.append((m[0][9:].removesuffix("]]>"), linked > 0))
+            if attrs:
+                opened.here.kids.append((attrs, linked > 0))
             continue
-        name = name.lower()
         if name in ("html", "body"):
             continue
-        if m["end"]:
+        if ends:
             if name == "a":
                 linked = max(0, linked - 1)
-            elif name in INLINE:
-                continue
-            elif name == "p" or name not in VOID:
-                up = here
-                while up is not root and up.name != name:
-                    up = up.parent
-                if up is not root:
+            elif name not in INLINE and name not in VOID:
+                if opened.all.get(name):
                     linked = 0
-                    while here is not up:
-                        articles -= here.name in ("article", "main")
-                        here = here.parent
-                    articles -= up.name in ("article", "main")
-                    here = up.parent
+                    opened.close((name,))
                 else:
-                    here.kids.append((" ", False))
+                    opened.here.kids.append((" ", False))
             continue
         if name == "a":
-            linked += not m["attrs"].rstrip().endswith("/")
+            linked += not attrs.rstrip().endswith("/")
             continue
         if name in INLINE:
             continue
         if name in VOID:
-            here.kids.append((" ", False))
+            opened.here.kids.append((" ", False))
             continue
         if name in CLOSES_P or name in SAME_LEVEL:
-            up, stops = here, SAME_LEVEL.get(name, ("p",))
-            while up is not root and up.name not in stops and up.name not in SCOPE:
-                up = up.parent
-            if up.name in stops:
-                here = up.parent
-            elif name in CLOSES_P and here.name in ("h1", "h2", "h3", "h4", "h5", "h6") and name[0] == "h" and len(name) == 2:
-                here = here.parent
+            stops = SAME_LEVEL.get(name, ("p",))
+            if opened.reachable(stops):
+                opened.close(stops)
+            elif name in CLOSES_P and opened.here.name in ("h1", "h2", "h3", "h4", "h5", "h6") and name[0] == "h" and len(name) == 2:
+                opened.pop()
             linked = 0
-        drop, bonus = _dropped(name, m["attrs"], articles > 0)
-        kid = _Node(name, here, drop, bonus)
-        here.kids.append(kid)
-        if not m["attrs"].endswith("/") or name in CLOSES_P:
-            here = kid
-            articles += name in ("article", "main")
+        drop, bonus = _dropped(name, attrs, opened.articles > 0)
+        kid = _Node(name, opened.here, drop, bonus)
+        opened.here.kids.append(kid)
+        if not attrs.endswith("/") or name in CLOSES_P:
+            opened.push(kid)
     if at < len(html):
-        here.kids.append((html[at:], False))
+        opened.here.kids.append((html[at:], False))
     return root
 
 
@@ -195,22 +260,23 @@ def _clean(pieces: list[str]) -> str:
 
 def _settle(root: _Node) -> None:
     """Keep doubtful elements that hold most of the page's prose, drop the others and all that is in a dropped one."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.drop != GONE:
-            order.append(node)
-            stack += [k for k in node.kids if isinstance(k, _Node)]
-    if any(n.drop for n in order):
-        prose: dict[_Node, int] = {}
-        for node in reversed(order):
-            own = sum(len(k[0].strip()) for k in node.kids if not isinstance(k, _Node) and not k[1])
-            prose[node] = prose.get(node, 0) + (own if node.name in PARAGRAPHS or own >= 25 else 0)
-            if node.parent is not None:
-                prose[node.parent] = prose.get(node.parent, 0) + prose[node]
-        for node in order:
-            if node.drop:
-                node.drop = KEPT if prose[node] >= MOST[node.drop] * prose[root] > 0 else GONE
+    for most in MOST:
+        order, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            if node.drop != GONE:
+                order.append(node)
+                stack += [k for k in node.kids if isinstance(k, _Node)]
+        if any(n.drop in most for n in order):
+            prose: dict[_Node, int] = {}
+            for node in reversed(order):
+                own = sum(len(k[0].strip()) for k in node.kids if not isinstance(k, _Node) and not k[1])
+                prose[node] = prose.get(node, 0) + (own if node.name in PARAGRAPHS or own >= 25 else 0)
+                if node.parent is not None:
+                    prose[node.parent] = prose.get(node.parent, 0) + prose[node]
+            for node in order:
+                if node.drop in most:
+                    node.drop = KEPT if prose[node] >= most[node.drop] * prose[root] > 0 else GONE
     stack = [root]
     while stack:
         node = stack.pop()

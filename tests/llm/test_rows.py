@@ -205,6 +205,38 @@ def test_layouts_give_the_article_alone(html):
     assert html_extract.extract_text(html) == WANT
 
 
+PROSE = "<p>This is a long paragraph, with commas, of an article that goes on for a while and says things.</p>" * 5
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "story promo", "ad-supported-article", "entry sponsored", "promo", "comments", "has-comments post-body", "recommended-story", "article_related", "replyContent"])
+def test_names_of_what_readers_add_give_way_to_the_prose(name):
+    page = f'<body><ul><li><a href="/">Home</a></li></ul><div class="{name}">{PROSE}</div></body>'
+    assert html_extract.extract_text(page) == html_extract.extract_text(PROSE)
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "comment-list", "related posts", "promo", "sponsored story"])
+def test_what_readers_add_goes_beside_an_article(name):
+    added = "<p>Nice, really nice, a good text indeed, thanks for writing all of it down.</p>" * 4
+    page = f'<body><div class="post">{PROSE}</div><div class="{name}">{added}</div></body>'
+    assert html_extract.extract_text(page) == html_extract.extract_text(PROSE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b" * 500_000, '<b "a>"' * 140_000 + "'", "<div>" * 90_000 + "</p>" * 90_000, "<center>" * 120_000, "<li><ul>" + "<x>" * 60_000 + "<li></li>" * 60_000, "<div " + "a" * 1_000_000 + ">x</div>", '<a href="' * 110_000, "<div>" * 80_000 + "x, y" + "</div>" * 80_000],
+    ids=["starts", "quotes", "stray ends", "nested", "scopes", "name", "open quotes", "deep"],
+)
+def test_a_megabyte_of_broken_markup_takes_seconds(page):
+    began = time.time()
+    html_extract.extract_text(page)
+    assert time.time() - began < 10
+
+
+def test_marks_that_never_close_are_text():
+    assert html_extract.extract_text('<p title="a>b">one</p><p>two 3 < 4 and 5 > 4</p><p>three <b') == "one two 3 < 4 and 5 > 4 three <b"
+    assert html_extract.extract_text('<p>one</p><p title="open>two</p><p>three</p>') == "one two three"
+
+
 def test_pages_with_odd_rows(spark, none):
     rows = [(1, None, LAYOUTS[0], "t", 1), (1, None, LAYOUTS[0], "t", 1), (None, "u", "", None, 2), (3, "u", "<p>" + "word " * 200_000, "x", None)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars bigint")
