@@ -49,6 +49,32 @@ class FloodShaping:
         return said
 
 
+class Waker:
+    """When a request may wake a model: not while it answered lately or a wake-up runs, and so often a UTC day at most."""
+
+    def __init__(self, awake_s: int, takes_s: int, per_day: int, heard: int | None = None, started: int | None = None, day: int | None = None, spent: int = 0):
+        self.awake, self.takes, self.per_day = awake_s * 1_000_000, takes_s * 1_000_000, per_day
+        self.heard, self.started, self.day, self.spent = heard, started, day, spent
+
+    def take(self, at: int, kind: str) -> str | None:
+        """What a request is told; None for an answer, which is only heard. A wake-up that is done has been heard, too."""
+        if self.started is not None and at >= self.started + self.takes:
+            self.heard, self.started = max(self.heard or 0, self.started + self.takes), None
+        if kind == "click":
+            self.heard = at
+            return None
+        if self.started is not None:
+            return "waking"
+        if self.heard is not None and at - self.heard < self.awake:
+            return "awake"
+        if (day := at // 86_400_000_000) != self.day:
+            self.day, self.spent = day, 0
+        if self.spent >= self.per_day:
+            return "limit"
+        self.spent, self.started = self.spent + 1, at
+        return "woken"
+
+
 def _by_key(df: DataFrame, key: str, order: list[str], make, step, ddl: str) -> DataFrame:
     """make() a state for each key and step(state, row) -> output tuple or None, rows in order.
 
@@ -141,3 +167,26 @@ def admission_waits(jobs: DataFrame, fifo: bool, weight: int = 4) -> DataFrame:
         return pa.table({"server": pa.array([server] * len(done), pa.int64()), **{n: pa.array([d[k] for d in done], pa.int64()) for k, n in enumerate(("job_id", "wait", "depth"))}})
 
     return jobs.groupBy("server").applyInArrow(run, "server bigint, job_id bigint, wait bigint, depth bigint")
+
+
+def lives(events: DataFrame, ttl_seconds: int, key: str = "user_id", at: str = "ts", ident: str = "event_id") -> DataFrame:
+    """Every event with the start of the life it falls into: the first event of a key begins one, as does the first after it ends."""
+
+    def step(state: list, row):
+        if not state or row["__at"] >= state[0] + ttl_seconds * 1_000_000:
+            state[:] = [row["__at"]]
+        return row[key], row[ident], state[0]
+
+    rows = _micros(events.select(key, ident, at), at).select(key, ident, "__at")
+    return _by_key(rows, key, ["__at", ident], list, step, f"{key} bigint, {ident} bigint, began bigint")
+
+
+def wake_states(events: DataFrame, models: int, awake_s: int, takes_s: int, per_day: int) -> DataFrame:
+    """What each request of each model is told; a click is an answer, anything else a request."""
+
+    def step(state: Waker, row):
+        said = state.take(row["__at"], row["event_type"])
+        return None if said is None else (row["model"], row["event_id"], said)
+
+    rows = _micros(events.select((F.col("user_id") % models).alias("model"), "event_id", "event_type", "ts"), "ts").select("model", "event_id", "event_type", "__at")
+    return _by_key(rows, "model", ["__at", "event_id"], lambda: Waker(awake_s, takes_s, per_day), step, "model bigint, event_id bigint, state string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.operators.stateful import admission_waits, shape_flood, sliding_admission
+from lexquarry.operators.stateful import admission_waits, lives, shape_flood, sliding_admission, wake_states
 
 from .base import query
 
@@ -170,3 +170,37 @@ def as_of_start(t) -> DataFrame:
     w = Window.partitionBy("k").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     both = starts.unionByName(asked).withColumn("as_of", F.max(F.when(F.col("kind") == 0, F.col("at"))).over(w))
     return both.where("kind = 1 AND as_of IS NOT NULL").select("o_orderkey", "as_of")
+
+
+TTL = 3 * 86_400
+
+
+@query(f"""
+WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT user_id, rn, us AS began FROM o WHERE rn = 1 UNION ALL SELECT o.user_id, o.rn, CASE WHEN o.us >= began + {TTL * 1_000_000} THEN o.us ELSE began END FROM w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
+SELECT user_id, began, began + {TTL * 1_000_000} AS expires, count(*)::BIGINT AS n, began + {TTL * 1_000_000} <= (SELECT max(us) FROM o) AS purged FROM w GROUP BY user_id, began
+""")
+def workspace_retention(t) -> DataFrame:
+    """Lives of three days from their first event, and which of them are purged by the record's own clock."""
+    now = t.events.agg(F.max(_seconds("ts")).alias("now"))
+    per = lives(t.events, TTL).groupBy("user_id", "began").agg(F.count("*").alias("n")).withColumn("expires", F.col("began") + TTL * 1_000_000)
+    return per.join(F.broadcast(now), F.col("expires").isNotNull()).select("user_id", "began", "expires", "n", (F.col("expires") <= F.col("now")).alias("purged"))
+
+
+MODELS, AWAKE, TAKES, PER_DAY = 10, 3600, 1800, 4
+
+
+@query(f"""
+WITH RECURSIVE o AS (SELECT user_id % {MODELS} AS model, event_id, event_type = 'click' AS answer, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % {MODELS} ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT 0::BIGINT AS rn, model, NULL::BIGINT AS event_id, NULL::VARCHAR AS state, NULL::BIGINT AS heard, NULL::BIGINT AS started, NULL::BIGINT AS day, 0 AS spent FROM o WHERE rn = 1
+UNION ALL SELECT rn, model, event_id, state, CASE WHEN answer THEN us ELSE heard1 END, CASE WHEN state = 'woken' THEN us ELSE started1 END,
+  CASE WHEN state IN ('woken', 'limit') THEN us // 86400000000 ELSE day END, CASE WHEN state = 'woken' THEN spent1 + 1 WHEN state = 'limit' THEN spent1 ELSE spent END
+FROM (SELECT *, CASE WHEN answer THEN NULL WHEN started1 IS NOT NULL THEN 'waking' WHEN heard1 IS NOT NULL AND us - heard1 < {AWAKE * 1_000_000} THEN 'awake' WHEN spent1 >= {PER_DAY} THEN 'limit' ELSE 'woken' END AS state
+  FROM (SELECT o.*, w.day, w.spent, CASE WHEN w.started IS NOT NULL AND us >= w.started + {TAKES * 1_000_000} THEN greatest(coalesce(w.heard, 0), w.started + {TAKES * 1_000_000}) ELSE w.heard END AS heard1,
+    CASE WHEN us >= w.started + {TAKES * 1_000_000} THEN NULL ELSE w.started END AS started1, CASE WHEN us // 86400000000 IS DISTINCT FROM w.day THEN 0 ELSE w.spent END AS spent1
+    FROM w JOIN o ON o.model = w.model AND o.rn = w.rn + 1) a) b)
+SELECT model, event_id, state FROM w WHERE state IS NOT NULL
+""")
+def model_wakes(t) -> DataFrame:
+    """What each request to wake a model is told: woken, waking, awake, or that the day's wake-ups are spent."""
+    return wake_states(t.events, MODELS, AWAKE, TAKES, PER_DAY)

@@ -48,3 +48,26 @@ def admitted(stream: DataFrame, limit: int, width_seconds: int) -> DataFrame:
 
     rows = stream.select("user_id", "event_id", F.unix_micros("ts").alias("at"))
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, accepted boolean, wait_seconds long", "accepted array<long>", "append", "NoTimeout")
+
+
+def fan_out(stream: DataFrame, subscriptions: DataFrame, folder: str, checkpoint: str):
+    """Deliver each event to every subscriber of its key, once however often a batch is replayed.
+
+    subscriptions: subscriber, user_id. A batch is written to a folder of its own id, which a replay writes anew, so a
+    batch that failed half-way or whose commit was lost leaves no second copy. The query, for the caller to start.
+    """
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, subscriptions, folder, batch_id)
+
+    return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+
+
+def write_batch(batch: DataFrame, subscriptions: DataFrame, folder: str, batch_id: int) -> None:
+    """One batch's deliveries; an event delivered twice to a subscriber within it counts once."""
+    rows = batch.join(subscriptions, "user_id").select("subscriber", "user_id", "event_id", "ts", "event_type").dropDuplicates(["subscriber", "event_id"])
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
