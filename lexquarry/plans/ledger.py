@@ -233,14 +233,19 @@ c AS (SELECT style, based_on, size_, font, 0 AS depth FROM s UNION ALL SELECT c.
 SELECT style, size_ AS size, font, depth::INT AS depth FROM c WHERE based_on IS NULL
 """)
 def style_inheritance(t) -> DataFrame:
-    """Each style with what it inherits: the nearest value on its chain, by doubling the distance every step."""
+    """Each style with what it inherits: the nearest value on its chain, by doubling the distance every step.
+
+    After as many steps as the number of styles has binary digits only chains without an end are open: those give no row.
+    """
     ensure_checkpoint_dir(t.spark)
     s = t.part.selectExpr("p_partkey AS style", "CASE WHEN p_partkey % 10 > 0 THEN p_partkey - 1 END AS based_on", "CASE WHEN p_size % 3 = 0 THEN p_size END AS size", "CASE WHEN p_size % 4 = 0 THEN p_brand END AS font")
     s = s.withColumn("depth", F.when(F.col("based_on").isNotNull(), 1).otherwise(0)).checkpoint()
-    while not s.where("based_on IS NOT NULL").isEmpty():
+    for _ in range(int(s.count()).bit_length()):
+        if s.where("based_on IS NOT NULL").isEmpty():
+            break
         up = s.select(F.col("style").alias("based_on"), F.col("based_on").alias("above"), F.col("size").alias("up_size"), F.col("font").alias("up_font"), F.col("depth").alias("up_depth"))
         s = s.join(up, "based_on", "left").select("style", F.col("above").alias("based_on"), F.coalesce("size", "up_size").alias("size"), F.coalesce("font", "up_font").alias("font"), (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth")).checkpoint()
-    return s.select("style", "size", "font", "depth")
+    return s.where("based_on IS NULL").select("style", "size", "font", "depth")
 
 
 #: Strings drawn on a page: a page per order, with start, end, baseline, height and width of a blank.
