@@ -219,3 +219,49 @@ def attention_order(t) -> DataFrame:
     g = t.lineitem.groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("flagged"))
     rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
     return t.lineitem.select("l_orderkey", "l_linenumber", rank.alias("attention")).join(g, "l_orderkey")
+
+
+#: Floors of a recording; retrieval is the cause where over one miss in so many had no span of the expert's among its sections.
+PRECISION_FLOOR, RECALL_FLOOR, RETRIEVAL_ONE_IN = 0.3, 0.25, 3
+_OUTCOME = """CASE WHEN n_chars < 60 THEN 'failed' WHEN toxic = 1 AND n_chars % 3 = 0 THEN 'missed' WHEN toxic = 1 AND n_chars % 3 = 1 THEN 'cited elsewhere' WHEN toxic = 1 THEN 'correct'
+WHEN quality = 0 AND n_chars % 2 = 0 THEN 'asserted' ELSE 'correct absence' END"""
+
+
+@query(f"""
+WITH o AS (SELECT lang, source, {_OUTCOME} AS outcome, n_chars % 5 <> 0 AS carried FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT lang, source, count(*) AS n, count(CASE WHEN outcome = 'correct' THEN 1 END) AS correct, count(CASE WHEN outcome IN ('cited elsewhere', 'asserted') THEN 1 END) AS wrong,
+  count(CASE WHEN outcome IN ('missed', 'cited elsewhere') THEN 1 END) AS missed, count(CASE WHEN outcome IN ('missed', 'cited elsewhere') AND NOT carried THEN 1 END) AS unretrieved, count(CASE WHEN outcome = 'failed' THEN 1 END) AS unfinished FROM o GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN correct + wrong = 0 THEN 0 ELSE correct / (correct + wrong) END AS prec, CASE WHEN correct + missed + unfinished = 0 THEN 0 ELSE correct / (correct + missed + unfinished) END AS recall FROM c)
+SELECT lang, source, n::BIGINT AS n, unfinished::BIGINT AS unfinished, round_even(prec, 4) AS prec, round_even(recall, 4) AS recall,
+  CASE WHEN unfinished > 0 THEN 'not scorable' WHEN prec >= {PRECISION_FLOOR} AND recall >= {RECALL_FLOOR} THEN 'fit' ELSE 'not fit' END AS verdict,
+  CASE WHEN missed = 0 THEN NULL WHEN {RETRIEVAL_ONE_IN} * unretrieved > missed THEN 'retrieval' ELSE 'model' END AS cause FROM r
+""")
+def recording_verdicts(t) -> DataFrame:
+    """The verdict on each recording, a language and source: not scorable with an unfinished value, which also counts as a miss;
+    else by the floors; and whether its misses are retrieval's."""
+    o = t.documents.join(t.labels, "doc_id").select("lang", "source", F.expr(_OUTCOME).alias("outcome"), (F.col("n_chars") % 5 != 0).alias("carried"))
+    of = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    c = o.groupBy("lang", "source").agg(
+        F.count("*").alias("n"), of("correct").alias("correct"), of("cited elsewhere", "asserted").alias("wrong"), of("missed", "cited elsewhere").alias("missed"),
+        F.count_if(F.col("outcome").isin("missed", "cited elsewhere") & ~F.col("carried")).alias("unretrieved"), of("failed").alias("unfinished"),
+    )
+    share = lambda below: F.when(below == 0, 0.0).otherwise(F.col("correct") / below)
+    prec, recall = share(F.col("correct") + F.col("wrong")), share(F.col("correct") + F.col("missed") + F.col("unfinished"))
+    verdict = F.when(F.col("unfinished") > 0, "not scorable").when((prec >= PRECISION_FLOOR) & (recall >= RECALL_FLOOR), "fit").otherwise("not fit")
+    cause = F.when(F.col("missed") > 0, F.when(RETRIEVAL_ONE_IN * F.col("unretrieved") > F.col("missed"), "retrieval").otherwise("model"))
+    return c.select("lang", "source", "n", "unfinished", F.bround(prec, 4).alias("prec"), F.bround(recall, 4).alias("recall"), verdict.alias("verdict"), cause.alias("cause"))
+
+
+@query("""
+WITH x AS (SELECT user_id % 5 AS level, event_type, date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0::DOUBLE AS wait, value FROM events),
+w AS (SELECT level, list_sort(list(wait) FILTER (WHERE wait IS NOT NULL)) AS waits, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed, max(value) AS peak, count(*) AS n FROM x GROUP BY level)
+SELECT level, n::BIGINT AS n, failed::BIGINT AS failed, peak, round(waits[round_even(0.5 * (len(waits) - 1), 0)::INT + 1], 1) AS p50, round(waits[round_even(0.95 * (len(waits) - 1), 0)::INT + 1], 1) AS p95 FROM w
+""")
+def load_envelope(t) -> DataFrame:
+    """Each load level's queue times by index percentiles, with its failures and its peak; the last stage of a user waits for none."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = t.events.select((F.col("user_id") % 5).alias("level"), "event_type", "value", ((F.lead(us).over(w) - us) / 1000000).alias("wait"))
+    waits = index_percentile(rows.where("wait IS NOT NULL").select("level", "wait"), "level", "wait", {"p50": 0.5, "p95": 0.95}, 1)
+    counts = rows.groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max("value").alias("peak"))
+    return counts.join(waits.select("level", "p50", "p95"), "level", "left").select("level", "n", "failed", "peak", "p50", "p95")
