@@ -64,4 +64,4 @@ _GLYPH = "l_suppkey % 50 AS page, CAST(l_partkey * 7 % 612 AS DOUBLE) AS x, CAST
 def glyphs_in_boxes(t) -> DataFrame:
     """How many glyphs lie in each painted box of their page."""
     boxes, glyphs = t.part.selectExpr(*_BOX.split(", ")), t.lineitem.selectExpr(*_GLYPH.split(", "))
-    return intervals.points_in_boxes(glyphs, boxes, ["page"], "x", "y", ("x0", "y0", "x1", "y1")).groupBy("box").agg(F.count("*").alias("glyphs"))
+    return intervals.count_points_in_boxes(glyphs, boxes, ["page"], "x", "y", ("x0", "y0", "x1", "y1"), "box").withColumnRenamed("n", "glyphs")
