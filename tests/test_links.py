@@ -78,3 +78,16 @@ def test_differences():
     diff = word_diff("pay in 30 days", "pay within 30 business days")
     assert "".join(t for k, t in diff if k != "added") == "pay in 30 days" and "".join(t for k, t in diff if k != "removed") == "pay within 30 business days"
     assert shared_run("the fee is due now", ["a fee is due", "due now"]) == "fee is due" and shared_run("x", []) == ""
+
+
+def test_equal_texts_are_read_once(spark):
+    rows = [(d, *s) for d in range(40) for s in CLAUSES]
+    known = links.read(spark.createDataFrame(rows, "doc_id bigint, ordinal int, number string, heading string, text string"))
+    assert known.texts.count() == len(CLAUSES) and known.rows.count() == len(rows)
+    found = links.links(known)
+    assert found.groupBy("source", "place", "target", "kind").count().where("count <> 40").count() == 0 and found.count() == 40 * 8
+    assert rows_of(links.resolve(spark.createDataFrame([(3, 1, "4.2"), (3, 3, "2"), (3, 4, "9")], "doc_id bigint, source int, number string"), known)) == [(1, "4.2", 3, 3), (3, "2", 1, 1)]
+
+
+def rows_of(df):
+    return rows(df, "source", "number", "target", "tier")
