@@ -7,17 +7,13 @@ by cells. No document is gathered in one task, but for its headings' order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexquarry.functions import statements as reading
 from lexquarry.functions.typed_values import values_in
 
+from .distinct import by_distinct
 from .intervals import overlap_join
 
 _READ = (
@@ -34,20 +30,6 @@ def _read(text: str | None, heading: str | None):
     return found, reading.part_of_heading(heading)
 
 
-def _rowwise(df: DataFrame, key: list[str], columns: list[str], ddl: str, fn) -> DataFrame:
-    rows = df.select(*key, *columns)
-    schema = T.StructType(rows.schema.fields[: len(key)] + T.StructType.fromDDL(ddl).fields)
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [fn(*given) for given in zip(*[c.to_pylist() for c in batch.columns[len(key) :]])]
-            made = zip(*out) if out else [()] * (len(arrow) - len(key))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], *[pa.array(v, type=f.type) for v, f in zip(made, list(arrow)[len(key) :])]], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
-
-
 def parts_of(sections: DataFrame, read: DataFrame) -> DataFrame:
     """doc_id, ordinal, part: the part that the nearest heading before, or its own, opens; body before the first."""
     order = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
@@ -62,7 +44,7 @@ def relations(sections: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]
     amendment replaces the body's own of that term, where the body has one. A start not reached on as_of, or one that
     names no date, is a limit like those that are written.
     """
-    read = _rowwise(sections, ["doc_id", "ordinal"], ["text", "heading"], _READ, _read)
+    read = by_distinct(sections, ["doc_id", "ordinal"], ["text", "heading"], _READ, _read)
     parts = parts_of(sections, read)
     every = read.select("doc_id", F.col("ordinal").alias("at"), F.explode("found").alias("s")).select("doc_id", "at", "s.*")
     latest = F.array_max(F.filter("starts", lambda d: d <= F.date_format(as_of, "yyyy-MM-dd")))
@@ -102,12 +84,12 @@ def assess(sections: DataFrame, found: DataFrame, parts: DataFrame, findings: Da
     touched = overlap_join(spans.select("doc_id", "finding_id", "ordinal", "a", "b"), passages, ["doc_id", "ordinal"], ("a", "b"), ("p", "q"))
     sides = touched.groupBy("finding_id", *key).agg(F.max(F.col("side") == "old").alias("old"), F.max(F.col("side") == "new").alias("new"))
     cut = passages.join(sections.select("doc_id", "ordinal", "text"), ["doc_id", "ordinal"]).select(*key, "side", F.expr("substring(text, p + 1, q - p)").alias("t"))
-    values = _rowwise(cut, [*key, "side"], ["t"], "keys array<string>", _keys)
+    values = by_distinct(cut, [*key, "side"], ["t"], "keys array<string>", _keys)
     empty = F.array().cast("array<string>")
     per = values.groupBy(*key).agg(*[F.coalesce(F.max(F.when(F.col("side") == s, F.col("keys"))), empty).alias(s + "_keys") for s in ("old", "new")])
     per = per.select(*key, F.array_except("new_keys", "old_keys").alias("only_new"), F.array_except("old_keys", "new_keys").alias("only_old"))
     read = lambda q, answer, observed: (reading.perspective(q), *_keys(answer), *_keys(observed))
-    asked = _rowwise(findings, ["doc_id", "finding_id"], ["question", "answer", "observed"], "asks string, said array<string>, position array<string>", read)
+    asked = by_distinct(findings, ["doc_id", "finding_id"], ["question", "answer", "observed"], "asks string, said array<string>, position array<string>", read)
     rows = sides.join(changes.select(*key, "scope"), key).join(per, key).join(asked, ["doc_id", "finding_id"])
     differs = F.array_union("only_new", "only_old")
     stance = F.when(F.size(F.array_intersect("position", differs)) > 0, F.col("position")).otherwise(F.col("said"))

@@ -12,7 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexquarry.functions import typed_values as values
 
-VALUES = "array<struct<start:int,stop:int,surface:string,key:string,kind:string,base:string>>"
+VALUES = "place int, start int, stop int, surface string, value_key string, kind string, base string"
+#: Texts whose values are sent on together.
+ROWS = 1024
 CLAIMS = "array<struct<kind:string,used:string,offered:string>>"
 
 
@@ -39,11 +41,21 @@ def _mapped(df: DataFrame, key: list[str], read: list[Column], out: str, fn: Cal
 def stated_values(df: DataFrame, key: list[str], text: str, answer: bool = False) -> DataFrame:
     """key, `place` (from 1, in the text's order), start, stop, surface, value_key, kind, base."""
 
-    def read(value: str | None):
-        return [{"start": v.start, "stop": v.stop, "surface": v.surface, "key": v.key, "kind": v.kind, "base": v.base} for v in values.values_in(value or "", answer)]
+    rows = df.select(*key, F.col(text).alias("__text"))
+    schema = T.StructType(rows.schema.fields[: len(key)] + T.StructType.fromDDL(VALUES).fields)
+    arrow = to_arrow_schema(schema)
 
-    found = _mapped(df, key, [F.col(text)], f"found {VALUES}", read).select(*key, F.posexplode("found").alias("pos", "v"))
-    return found.select(*key, (F.col("pos") + 1).alias("place"), "v.start", "v.stop", "v.surface", F.col("v.key").alias("value_key"), "v.kind", "v.base")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(key)).to_pylist()
+            for start in range(0, len(texts), ROWS):
+                found = [values.rows_in(t or "", answer) for t in texts[start : start + ROWS]]
+                owner = pa.array([k for k, rows in enumerate(found, start) for _ in rows], type=pa.int64())
+                place = [k for rows in found for k in range(1, len(rows) + 1)]
+                columns = list(zip(*[row for rows in found for row in rows])) or [()] * 6
+                yield pa.RecordBatch.from_arrays([*[c.take(owner) for c in batch.columns[: len(key)]], *[pa.array(v, type=f.type) for v, f in zip([place, *columns], list(arrow)[len(key) :])]], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _support(found: DataFrame, key: list[str]) -> DataFrame:

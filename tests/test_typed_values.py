@@ -92,3 +92,35 @@ def test_uniform_claims(answer, quotes, claims):
 def test_long_texts_stay_linear():
     text = "Sections 1, 2, 3 and 4 of 5 days; " * 20_000
     assert len(v.ValueReader(text).values(True)) == 20_000
+
+
+def test_pieces_of_one_form_are_read_once(monkeypatch):
+    """Texts that differ in their figures only are read by the automaton once, and give what it gives for each."""
+    rng = random.Random(7)
+    parts = "Section no. No Amendment $ EUR € 5 12 0 31 32 007 1997 1,234 12,34 1,234.5 2024-03-05 05/05/2024 13/02/2024 02/13/2024 5/6/2020 003/003/2020 March sept 5th of days weeks months hour % per cent million k $5.5k $3M 100m twenty hundred and , . - / ( ) (5) five 1.2.3 1,5% x".split() + [". ", ".\n"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) + rng.choice("   \t") * rng.randint(0, 1) for _ in range(rng.randint(1, 12)))
+        for answer in (False, True):
+            whole = [(x.start, x.stop, x.surface, x.key, x.kind, x.base) for x in v.ValueReader(text).values(answer)]
+            assert v.rows_in(text, answer) == whole, text
+    read, real = [], v.ValueReader
+    monkeypatch.setattr(v, "ValueReader", lambda text: read.append(text) or real(text))
+    for k in range(100, 900):
+        assert [r[3] for r in v.rows_in(f"The fee of ${k} is due in {k} weeks. A rate of {k}.5% holds.")] == [f"n:{k}", f"n:{k}", f"n:{k}.5"]
+    assert len(read) <= 2
+
+
+def test_distinct_rows_are_read_once_a_task(spark):
+    from lexquarry.operators.distinct import by_distinct
+
+    spent = spark.sparkContext.accumulator(0)
+
+    def read(text, n):
+        spent.add(1)
+        return (None if text is None else text * n, n)
+
+    rows = spark.range(0, 40_000, 1, 1).selectExpr("id", "IF(id % 3 = 0, NULL, concat('t', id % 3)) AS text", "CAST(id % 2 AS INT) AS n")
+    got = by_distinct(rows, ["id"], ["text", "n"], "twice string, m int", read)
+    assert got.where("m <> id % 2 OR NOT twice <=> IF(id % 3 = 0, NULL, repeat(concat('t', id % 3), m))").isEmpty()
+    spent.value = 0
+    assert got.count() == 40_000 and spent.value == 6
