@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexquarry.session import dealt
+
 from .base import query
 
 _SQL_SPANS = "s AS (SELECT l_orderkey AS page, (l_partkey % 100)::DOUBLE AS lo, (l_partkey % 100 + l_quantity / 10)::DOUBLE AS hi, l_linenumber AS n, l_suppkey AS k FROM lineitem)"
@@ -16,7 +18,7 @@ m AS (SELECT page, island, min(lo) AS lo, max(hi) AS hi, count(*) AS parts FROM
 def spans(t) -> DataFrame:
     """Horizontal extents of the lines of each page."""
     lo = (F.col("l_partkey") % 100).cast("double")
-    return t.lineitem.select(F.col("l_orderkey").alias("page"), lo.alias("lo"), (lo + F.col("l_quantity") / 10).alias("hi"))
+    return dealt(t.lineitem.select(F.col("l_orderkey").alias("page"), lo.alias("lo"), (lo + F.col("l_quantity") / 10).alias("hi")), "page")
 
 
 def merged(rows: DataFrame) -> DataFrame:

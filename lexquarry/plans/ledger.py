@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.session import ensure_checkpoint_dir
+from lexquarry.session import dealt, ensure_checkpoint_dir
 
 from .base import query
 
@@ -271,7 +271,7 @@ SELECT page, grp::BIGINT AS line, string_agg(CASE WHEN before_ IS NULL OR tx <=
 """)
 def text_groups(t) -> DataFrame:
     """Drawn strings as lines: a new one where the baseline moves or the text jumps back; out of order ones by place; gaps as blanks."""
-    d = t.lineitem.selectExpr(*_DRAWN)
+    d = dealt(t.lineitem.selectExpr(*_DRAWN), "page")
     w = Window.partitionBy("page").orderBy("n")
     was = lambda c: F.lag(c).over(w)
     new = (F.col("n") == 1) | (F.abs(F.col("ty") - was("ty")) > F.col("height")) | (was("dx") - F.col("tx") > 5 * F.col("blank"))

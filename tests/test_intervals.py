@@ -27,3 +27,14 @@ def test_counts_are_those_of_all_pairs(spark, monkeypatch, points, boxes):
 def test_glyphs_make_no_pairs(spark, sf_dir):
     plan = registry.QUERIES["glyphs_in_boxes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "__cx" not in plan and "FlatMapCoGroups" in plan
+
+
+def test_pages_are_dealt_by_rows(spark, sf_dir, monkeypatch):
+    """A task's rows have a bound that the session's partitions don't move."""
+    from lexquarry import session
+    from lexquarry.plans import layout
+    from lexquarry.plans.base import Tables
+
+    monkeypatch.setattr(session, "TASK_ROWS", 300)
+    rows = layout.spans(Tables(spark, sf_dir))
+    assert rows.rdd.getNumPartitions() == -(-rows.count() // 300)
