@@ -183,3 +183,12 @@ def test_index_on_small_alphabets(docs, items):
     found = decontaminate.search_shard([t for _, t in docs], decontaminate.Phrases([(str(i), t) for i, t in items], 4))
     got = [(d, n, sum(b - a for a, b in spans), len(names)) for (d, _), (n, spans, names) in zip(docs, found)]
     assert got == [r[:4] for r in decontaminate.brute_force(docs, items, 4)]
+
+
+def test_only_texts_of_pairs_are_sent(spark):
+    """The exact comparison shuffles the texts of paired ids; copies of an id stay, a text of no pair goes nowhere."""
+    texts = spark.range(-3000, 3000).selectExpr("id", "concat('t', id) AS text").unionByName(spark.createDataFrame([(7, "another"), (7, None)], "id bigint, text string"))
+    pairs = spark.createDataFrame([(-3000, 7), (7, 2999), (0, -1)], "a bigint, b bigint")
+    kept = sorted((r.id, r.text or "") for r in near_dedup.paired_texts(texts, pairs).collect())
+    must = [(-3000, "t-3000"), (-1, "t-1"), (0, "t0"), (7, ""), (7, "another"), (7, "t7"), (2999, "t2999")]
+    assert set(must) <= set(kept) and len(kept) <= len(must) + 10
