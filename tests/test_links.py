@@ -91,3 +91,13 @@ def test_equal_texts_are_read_once(spark):
 
 def rows_of(df):
     return rows(df, "source", "number", "target", "tier")
+
+
+def test_steps_are_kept(spark, sections):
+    """What is read besides ranked sections hangs on kept steps: its last plan joins a few small tables, not the whole graph again."""
+    ranked = spark.createDataFrame([(7, 1, 1, 0), (7, 1, 2, 1)], "doc_id bigint, query_id bigint, ordinal int, rank int")
+    found = links.links(sections)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(found) <= 3
+    added = links.follow(sections, ranked, found.checkpoint())
+    assert joins(added) <= 2 and rows(added, "step", "target") == [(1, 4), (2, 0)]
